@@ -11,6 +11,7 @@ from . import common, language, toxicity
 from .bpe_table import encode_table
 from .chat_format import chat_digest, format_chats
 from .exact_dedup import exact_dedup
+from .packing import pack
 
 _SPACED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
@@ -22,6 +23,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(chats.unionByName(more)))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.pmod(common.crc_of_id(), F.lit(5)) == 0
@@ -50,6 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op4_packing": op4_packing,
         "op6_language_id": op6_language_id,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
