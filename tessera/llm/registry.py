@@ -11,6 +11,7 @@ from . import common, language, toxicity
 from .bpe_table import encode_table
 from .chat_format import chat_digest, format_chats
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .substring_dedup import substring_dedup
 
@@ -44,6 +45,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(common.table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_toxicity": op10_toxicity,
