@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .packing import pack
 from .substring_dedup import substring_dedup
+from .topk_search import build_index, search
 
 _SPACED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
@@ -25,6 +26,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(chats.unionByName(more)))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(build_index(docs), docs.filter("doc_id % 100 = 0"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op3_topk_search": op3_topk_search,
         "op4_packing": op4_packing,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
