@@ -73,8 +73,27 @@ def ready(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def row_keys(key: str, text: str) -> dict:
+    """Two hashes that name a row by its content; equal rows share them."""
+    return {"k1": F.xxhash64(key, text), "k2": F.hash(key, text)}
+
+
+def without(docs: DataFrame, verdicts: DataFrame, key: str, text: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the rows that verdicts(k1, k2, kept) drops; of equal rows with one kept, one is kept."""
+    per = verdicts.groupBy("k1", "k2").agg(F.max("kept").alias("any"), F.count("*").alias("n"))
+    per = written(per.filter("not any or n > 1").withColumnsRenamed({"k1": "_tessera_k1", "k2": "_tessera_k2"}), "verdicts")
+    on = ["_tessera_k1", "_tessera_k2"]
+    rows = docs.withColumns({f"_tessera_{k}": v for k, v in row_keys(key, text).items()})
+    out = rows.join(within(per.filter("not any").select(*on), 24, broadcast_bytes), on, "left_anti")
+    again = per.filter("any").select(*on)
+    if not again.isEmpty():
+        again = within(again, 24, broadcast_bytes)
+        out = out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates(on))
+    return out.select(*docs.columns)
+
+
 def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "shared_dir", "table", "within", "written"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "shared_dir", "table", "within", "without", "written"]

@@ -142,18 +142,14 @@ def suspects(prints: DataFrame) -> DataFrame:
     return joined.select("rows", "at", "bitmap").mapInArrow(_suspects, "row_num long")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
-    """One row per document: key, keep_id, group_size, kept, text_sha256 of the normalised text.
-
-    Of rows with equal normalised text the one with the smallest key stays; if that key repeats, one of its rows.
-    """
+def _verdicts(docs: DataFrame, key: str, text: str, broadcast_bytes: int) -> DataFrame:
     common.ready(docs.sparkSession)
-    base = docs.select(F.col(key).alias("id"), normal(text).alias("norm"))
+    base = docs.select(*[v.alias(k) for k, v in common.row_keys(key, text).items()], F.col(key).alias("id"), normal(text).alias("norm"))
     # the long hash is what a row is known by from here on; ties within it are settled by bytes
-    prints = common.written(base.select("id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), F.spark_partition_id().cast("long").alias("src"), F.monotonically_increasing_id().alias("row_num")), "prints")
+    prints = common.written(base.select("k1", "k2", "id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), F.spark_partition_id().cast("long").alias("src"), F.monotonically_increasing_id().alias("row_num")), "prints")
     marked = common.written(prints.join(suspects(prints), "row_num", "left_semi").select("h").distinct(), "marked")
     # the suspects' texts meet by fingerprint and are compared whole; copies are counted before they are dealt
-    texts = base.withColumn("h", F.xxhash64("norm")).join(common.within(marked, 24, broadcast_bytes), "h", "left_semi")
+    texts = base.select("norm").withColumn("h", F.xxhash64("norm")).join(common.within(marked, 24, broadcast_bytes), "h", "left_semi")
     groups = texts.groupBy("h", "norm").agg(F.count("*").alias("group_size"))
     verified = common.written(groups.filter("group_size > 1").select("h", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "group_size"), "verified")
     verified = common.within(verified, 72, broadcast_bytes)
@@ -167,4 +163,20 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", broadc
         size.cast("long").alias("group_size"),
         ((size == 1) | (F.col("row_num") == F.col("first.row_num"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "k1",
+        "k2",
     )
+
+
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
+    """One row per document: key, keep_id, group_size, kept, text_sha256 of the normalised text.
+
+    Of rows with equal normalised text the one with the smallest key stays; if that key repeats, one of its rows.
+    """
+    return _verdicts(docs, key, text, broadcast_bytes).drop("k1", "k2")
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
+    """docs without the rows that exact_dedup doesn't keep; all columns stay."""
+    verdicts = common.written(_verdicts(docs, key, text, broadcast_bytes).select("k1", "k2", "kept"), "kept")
+    return common.without(docs, verdicts, key, text, broadcast_bytes)

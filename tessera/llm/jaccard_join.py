@@ -281,16 +281,10 @@ def candidate_edges(sets: DataFrame, threshold: float, broadcast_bytes: int) ->
     return out
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
-    """One row per document: key, class_id, n_links, copies.
-
-    class_id is the smallest key of the component of links that the document is in (its own key if it has no
-    link), n_links the number of other documents with a similarity of the threshold or more, copies those of
-    them (itself included) with the same shingles.
-    """
+def _classes(docs: DataFrame, key: str, text: str, threshold: float, width: int, broadcast_bytes: int) -> DataFrame:
     common.ready(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.xxhash64(key, text).alias("k1"), F.hash(key, text).alias("k2"), F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(*[v.alias(k) for k, v in common.row_keys(key, text).items()], F.col(key).alias("id"), F.col(text).alias("text"))
     signed = rows.mapInArrow(_sign(width), f"k1 long, k2 int, id {kind}, s1 long, s2 long, n long, sig binary")
     signed = common.written(signed.withColumn("sid", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n"))), "signed")
     one = F.min(F.struct("k1", "k2")).alias("one")
@@ -313,5 +307,25 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     names = common.written(own.groupBy("comp").agg(F.min("least").alias("class_id")), "names")
     own = own.join(common.within(names, 32, broadcast_bytes), "comp").select("sid", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     own = common.written(own, "classes")
-    out = signed.select("id", "sid").join(common.within(own, 48, broadcast_bytes), "sid", "left")
-    return out.select(F.col("id").alias(key), F.when(F.col("copies").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    out = signed.select("k1", "k2", "id", "sid").join(common.within(own, 48, broadcast_bytes), "sid", "left")
+    return out.select("k1", "k2", F.col("id").alias(key), F.when(F.col("copies").isNotNull(), F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
+    """One row per document: key, class_id, n_links, copies.
+
+    class_id is the smallest key of the component of links that the document is in (its own key if it has no
+    link), n_links the number of other documents with a similarity of the threshold or more, copies those of
+    them (itself included) with the same shingles.
+    """
+    return _classes(docs, key, text, threshold, width, broadcast_bytes).drop("k1", "k2")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
+    """docs with one document of each class, that of the smallest key; all columns stay."""
+    linked = _classes(docs, key, text, threshold, width, broadcast_bytes).filter("n_links > 0").withColumnRenamed(key, "id")
+    linked = common.written(linked.select("k1", "k2", "id", "class_id"), "linked")
+    first = common.written(linked.groupBy("class_id").agg(F.min(F.struct("id", "k1", "k2")).alias("first")), "first")
+    kept = F.struct("id", "k1", "k2").eqNullSafe(F.col("first"))
+    verdicts = linked.join(common.within(first, 48, broadcast_bytes), "class_id").select("k1", "k2", kept.alias("kept"))
+    return common.without(docs, verdicts, key, text, broadcast_bytes)

@@ -145,3 +145,16 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("id", key)
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the rows that the model rejects; all columns stay."""
+    spark = docs.sparkSession
+    common.ready(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~predict_rows(sent.value, b.column(text))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

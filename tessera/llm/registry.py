@@ -12,6 +12,7 @@ from .bpe_table import encode_table
 from .chat_format import chat_digest, format_chats
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .license_scan import license_scan
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .topk_search import build_index, search
@@ -26,6 +27,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chats(chats.unionByName(more)))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(common.table(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return search(build_index(docs), docs.filter("doc_id % 100 = 0"))
@@ -75,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_license_scan": op2_license_scan,
         "op3_topk_search": op3_topk_search,
         "op4_packing": op4_packing,
         "op5_substring_dedup": op5_substring_dedup,

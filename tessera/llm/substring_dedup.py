@@ -132,27 +132,43 @@ def _windows(window: int):
     return run
 
 
+def kept_words(text: str | None, removed: list[int] | None) -> tuple[list[bytes], int]:
+    """The words that no removed span (first, end, first, end, ...) covers, and how many there were."""
+    words = (text or "").encode().split()  # splits at 0x20 and 0x09 to 0x0D
+    n = len(words)
+    if removed is not None:
+        cover = np.zeros(n + 1, np.int32)
+        pairs = np.asarray(removed).reshape(-1, 2)
+        np.add.at(cover, pairs[:, 0], 1)
+        np.add.at(cover, pairs[:, 1], -1)
+        words = [w for w, c in zip(words, np.cumsum(cover[:-1]).tolist(), strict=True) if not c]
+    return words, n
+
+
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that no removed span covers, joined by one space."""
     for b in batches:
         n_words, n_removed, kept = [], [], []
         for text, removed in zip(b.column("text"), b.column("removed"), strict=True):
-            words = (text.as_py() or "").encode().split()  # splits at 0x20 and 0x09 to 0x0D
-            n_words.append(len(words))
-            if removed.is_valid:
-                cover = np.zeros(len(words) + 1, np.int32)
-                pairs = np.asarray(removed.values).reshape(-1, 2)
-                np.add.at(cover, pairs[:, 0], 1)
-                np.add.at(cover, pairs[:, 1], -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                n_removed.append(int(gone.sum()))
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            else:
-                n_removed.append(0)
+            words, n = kept_words(text.as_py(), removed.values if removed.is_valid else None)
+            n_words.append(n)
+            n_removed.append(n - len(words))
             kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept"])
 
 
+def _rewrite(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old, spans_of = b.column(text), b.column("_tessera_removed")
+            new = old.to_pylist()
+            for r in np.flatnonzero(spans_of.is_valid().to_numpy(zero_copy_only=False)):
+                new[r] = b" ".join(kept_words(new[r], spans_of[r].values)[0]).decode()
+            b = b.set_column(b.schema.get_field_index(text), text, pa.array(new, old.type))
+            yield b.drop_columns(["_tessera_removed"])
+
+    return run
+
+
 def repeats(rows: DataFrame, window: int = 35, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """Repeated spans of rows(k1, k2, text): k1, k2, first word, word after the last; they may overlap."""
     common.ready(rows.sparkSession)
@@ -176,6 +192,14 @@ def repeats(rows: DataFrame, window: int = 35, broadcast_bytes: int = common.BRO
     return done.unionByName(parts)
 
 
+def _removed(docs: DataFrame, key: str, text: str, window: int, broadcast_bytes: int) -> DataFrame:
+    """(k1, k2, removed) of the texts with repeated windows; removed is a flat array first, end, first, end."""
+    rows = docs.select(*[v.alias(k) for k, v in common.row_keys(key, text).items()], F.col(text).alias("text"))
+    found = repeats(rows, window, broadcast_bytes)
+    # of each text, at most two numbers a window
+    return common.written(found.groupBy("k1", "k2").agg(F.flatten(F.collect_set(F.array("first", "end"))).alias("removed")), "removed")
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
     """key, n_words, n_removed, kept (the kept words joined by one space, UTF-8 bytes).
 
@@ -183,11 +207,18 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     common.ready(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = docs.select(F.xxhash64("id", "text").alias("k1"), F.hash("id", "text").alias("k2"), "id", "text")
-    found = repeats(rows, window, broadcast_bytes)
-    removed = found.groupBy("k1", "k2").agg(F.flatten(F.collect_set(F.array("first", "end"))).alias("removed"))
-    removed = common.written(removed, "removed")  # of each text, at most two numbers a window
+    removed = _removed(docs, key, text, window, broadcast_bytes)
+    rows = docs.select(*[v.alias(k) for k, v in common.row_keys(key, text).items()], F.col(key).alias("id"), F.col(text).alias("text"))
     out = rows.join(common.within(removed, 96, broadcast_bytes), ["k1", "k2"], "left").select("id", "text", "removed")
     out = out.mapInArrow(_keep, f"id {kind}, n_words long, n_removed long, kept binary")
     return out.withColumnRenamed("id", key)
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, broadcast_bytes: int = common.BROADCAST_BYTES) -> DataFrame:
+    """docs with the repeated windows' words taken out of the text; a text without any stays as it is."""
+    common.ready(docs.sparkSession)
+    removed = _removed(docs, key, text, window, broadcast_bytes).withColumnsRenamed({"k1": "_tessera_k1", "k2": "_tessera_k2", "removed": "_tessera_removed"})
+    on = ["_tessera_k1", "_tessera_k2"]
+    rows = docs.withColumns({f"_tessera_{k}": v for k, v in common.row_keys(key, text).items()})
+    rows = rows.join(common.within(removed, 96, broadcast_bytes), on, "left").select(*docs.columns, "_tessera_removed")
+    return rows.mapInArrow(_rewrite(text), docs.schema)
