@@ -1,3 +1,3 @@
 """The registered queries; importing this package registers them."""
 
-from tessera.plans import sql_surface  # noqa: F401
+from tessera.plans import semantic, sql_surface  # noqa: F401
