@@ -73,7 +73,7 @@ def match_metrics(questions: DataFrame, metrics: DataFrame, namespace: str = "")
     seen = F.lit(namespace == "") | (F.lower("namespace") == namespace.lower()) | (F.col("namespace") == "")
     pattern = F.concat(F.lit(r"(^|\W)"), F.regexp_replace(F.regexp_replace(F.lower("label"), r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\$1"), "[_ ]", "[_ ]"), F.lit(r"(\W|$)"))
     m = F.broadcast(metrics.filter(seen).withColumn("pattern", pattern))
-    hit = questions.join(m, F.lower("question").rlike(F.col("pattern")), "inner")
+    hit = questions.join(m, F.rlike(F.lower("question"), F.col("pattern")), "inner")
     return hit.groupBy("qid", "metric").agg(F.max(F.col("is_name").cast("int")).alias("by_name"), F.count("*").alias("hits"))
 
 

@@ -41,7 +41,8 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     """(key, bm25) of the documents that have any of a few terms; two aggregates, no token table is kept."""
     tokens = docs.select(key, F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9]+").alias("t"))
     tokens = tokens.withColumn("t", F.filter("t", lambda w: w != ""))
-    counts = tokens.select(key, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda w, term=term: w == term)).alias(f"tf{i}") for i, term in enumerate(terms)])
+    times = lambda term: F.size(F.filter("t", lambda w: w == term))
+    counts = tokens.select(key, F.size("t").alias("dl"), *[times(term).alias(f"tf{i}") for i, term in enumerate(terms)])
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     rows = counts.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
