@@ -179,6 +179,9 @@ def _brute(least: float):
                 continue
             sid = g.column("sid").to_numpy()
             sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(-1, TOKENS)
+            # ordered by set: buckets of one group then agree on roots, and their edges fall together
+            order = np.argsort(sid)
+            sid, sig = sid[order], sig[order]
             if len(sid) == 2:
                 near = (sig[0] == sig[1]).mean() >= least
                 if near and sid[0] != sid[1]:
