@@ -246,6 +246,9 @@ class Compiler:
                 out = out.filter("_having")
             df = out
         else:
+            for n, e in chosen:
+                if e == ("var", n):
+                    self._visible(df, n)
             df = df.select("*", *[self._expr(df, e).alias(n) for n, e in chosen if e != ("var", n)])
         if q["distinct"]:  # DISTINCT holds for the projected rows
             df = df.select(*[n for n, _ in chosen]).distinct()
