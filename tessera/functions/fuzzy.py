@@ -10,15 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts by their matching blocks; 0 if either is null."""
     return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def best_window_ratio(text: pd.Series, label: pd.Series) -> pd.Series:
     """Best similarity of a label with any run of as many words of the text, or with the whole text."""
     out = []
@@ -29,7 +30,7 @@ def best_window_ratio(text: pd.Series, label: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def iri_segment(s: pd.Series) -> pd.Series:
     """Any name as an IRI segment: NFC, white space as -, the rest percent-encoded, hyphens collapsed and trimmed."""
 

@@ -11,7 +11,7 @@ from tessera.functions.names import camel_case, pascal_case, xsd_type
 
 RDF_TYPE = "rdf:type"
 SCHEMA = "g string, s string, p string, o string, kind string"
-_TERM = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^>]*>)|(?P<lit>\"\"\"(?:.|\n)*?\"\"\"|"(?:[^"\\\n]|\\.)*")(?P<tail>@[\w-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]+))?|(?P<word>@?[\w-]*:?[\w.-]*[\w-]|[\w-]*:)|(?P<op>[;,.\[\]()])""")
+_TERM = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^>]*>)|(?P<lit>\"\"\"(?:.|\n)*?\"\"\"|"(?:[^"\\\n]|\\.)*")(?P<tail>@[\w-]+|\^\^(?:<[^>]*>|[\w-]*:[\w-]+))?|(?P<word>[\w-]*:(?=\s)|@?[\w-]*:?[\w.-]*[\w-])|(?P<op>[;,.\[\]()])""")
 
 
 def sniff(text: str) -> str | None:
@@ -44,6 +44,10 @@ def read_turtle(text: str) -> list[tuple[str, str, str, str]]:
         name, _, local = term.partition(":")
         return prefixes[name] + local if name in prefixes else term
 
+    def unquoted(term: str) -> str:
+        n = 3 if term.startswith('"""') else 1
+        return term[n:-n].replace('\\"', '"').replace("\\n", "\n")
+
     i = 0
     while i < len(terms):
         word = terms[i][0]
@@ -57,7 +61,7 @@ def read_turtle(text: str) -> list[tuple[str, str, str, str]]:
             while True:
                 value, kind = terms[i]
                 i += 1
-                out.append((subject, predicate, re.sub(r'^"+|"+$', "", value).replace('\\"', '"').replace("\\n", "\n") if kind == "literal" else full(value), kind))
+                out.append((subject, predicate, unquoted(value) if kind == "literal" else full(value), kind))
                 if terms[i][0] != ",":
                     break
                 i += 1

@@ -41,7 +41,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     """(path, text, reason): the text, or why there is none (ending, too_large, unreadable, empty)."""
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     gated = files.select("path", "content", ending.alias("ending"), F.when(~ending.isin(*ENDINGS), "ending").when(F.col("length") > MAX_BYTES, "too_large").alias("reason"))
-    plain = F.when(F.col("reason").isNull() & F.col("ending").isin("txt", "md"), F.decode("content", F.lit("UTF-8")))
+    plain = F.when(F.col("reason").isNull() & F.col("ending").isin("txt", "md"), F.decode("content", "UTF-8"))
 
     def docx(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

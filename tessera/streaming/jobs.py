@@ -42,4 +42,4 @@ def counted(spark: SparkSession, sf_dir: str, name: str, by: str) -> DataFrame:
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events by window and type, with a watermark so that state is dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
