@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from tessera.engine import Engine
 from tessera.registry import query
+from tessera.sources.tables import TABLES
 
 _MONEY = "CAST(sum(CAST({} AS DECIMAL(18, 4))) AS DOUBLE)"
 
@@ -90,7 +93,8 @@ ALONE: dict[str, str] = {
 
 
 def _run(sql: str):
-    return lambda spark, sf_dir: Engine(spark, sf_dir).sql(sql, max_rows=None)
+    names = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]  # other tables' files aren't looked at
+    return lambda spark, sf_dir: Engine(spark, sf_dir, names).sql(sql, max_rows=None)
 
 
 for _name, _sql in BOTH.items():
