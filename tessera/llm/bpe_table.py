@@ -20,6 +20,7 @@ from .bpe import codec
 
 def _encode(path: str, pattern: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("bpe")
         c = codec(path, pattern)
         for b in batches:
             for at in range(0, b.num_rows, 64):

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +77,24 @@ def ready(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+_tenant: list[str] = []
+
+
+def tenant(who: str) -> None:
+    """Called where a worker begins a task: if another operator ran here before, what it kept for reuse is let go."""
+    if _tenant and _tenant[0] != who:
+        for module, clear in (("text", lambda m: m._powers.clear()), ("packing", lambda m: m.words.cache_clear()), ("bpe", lambda m: m.codec.cache_clear())):
+            if m := sys.modules.get(f"{__package__}.{module}"):
+                clear(m)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    _tenant[:] = [who]
+
+
 def row_keys(key: str, text: str) -> dict:
     """Two hashes that name a row by its content; equal rows share them."""
     return {"k1": F.xxhash64(key, text), "k2": F.hash(key, text)}
@@ -96,4 +118,4 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "shared_dir", "table", "within", "without", "written"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "shared_dir", "table", "tenant", "within", "without", "written"]

@@ -73,6 +73,7 @@ _SENT = pa.schema([("sender", pa.int64()), ("owner", pa.int32()), ("codes", pa.b
 
 def _send(bits: int, owner_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("exact_dedup")
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 

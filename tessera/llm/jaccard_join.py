@@ -34,8 +34,10 @@ from .text import mix, steps, words
 
 #: Tokens of a signature; bucket size for brute force; members of a block; levels of the tree; recall at the threshold.
 TOKENS, SMALL, BLOCK, LEVELS, RECALL = 96, 64, 512, 3, 0.999
+#: Members of a block where true sets are compared, and shingles that are compared at once.
+EXACT_BLOCK, SPAN = 256, 4096
 #: Shingles of a component that a block holds on average at most.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 _rng = np.random.default_rng(7_301)
 _MUL = (_rng.integers(1, 2**32, TOKENS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _rng.integers(0, 2**32, TOKENS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -79,6 +81,7 @@ def shingles(column: pa.Array, width: int = 5) -> Iterator[tuple[int, int, np.nd
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("jaccard_join")
         for b in batches:
             for i, j, s, edge in shingles(b.column("text"), width):
                 has = np.flatnonzero(np.diff(edge) > 0)
@@ -114,6 +117,7 @@ def _paths(threshold: float, runs: int = 0):
     limit = np.uint64(int(2**64 / (threshold * TOKENS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("jaccard_join")
         for b in batches:
             if not b.num_rows:
                 continue
@@ -173,6 +177,7 @@ def _brute(least: float):
     """Spanning edges between sets of a bucket (and of its two blocks) whose signatures agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("jaccard_join")
         out, held = [], 0
         for g in _groups(batches, ["path", "i", "j"]):
             if g.num_rows < 2:
@@ -209,6 +214,7 @@ def _exact(threshold: float, width: int):
     """True links inside a block or between two: for each set its links (copies counted) and its root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("jaccard_join")
         for g in _groups(batches, ["comp", "i", "j"]):
             sid = g.column("sid").to_numpy()
             sid, first = np.unique(sid, return_index=True)
@@ -229,7 +235,7 @@ def _exact(threshold: float, width: int):
             order = np.argsort(col, kind="stable")
             row, col = row[order], col[order]
             both = np.zeros((len(sets), len(sets)), np.float32)
-            span = 8192
+            span = SPAN
             cuts = np.searchsorted(col, np.arange(0, int(shared.sum()) + span, span))
             for at, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if e > s:
@@ -296,7 +302,7 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, width: int,
     maybe = components(candidate_edges(sets, threshold, broadcast_bytes), broadcast_bytes)
     member = sets.join(common.within(maybe.withColumnRenamed("node", "sid"), 32, broadcast_bytes), "sid").select("sid", "comp", "copies", "n", "one.k1", "one.k2")
     member = common.written(member, "member")
-    total = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
+    total = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
     total = common.written(total, "total")
     member = common.written(member.join(common.within(total, 24, broadcast_bytes), "comp"), "members")
     texts = rows.select("k1", "k2", "text").join(common.within(member, 64, broadcast_bytes), ["k1", "k2"]).select("comp", "nb", "sid", "copies", "text")

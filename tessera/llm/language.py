@@ -25,7 +25,7 @@ from . import common
 from .text import letters_map, steps
 
 #: Hashed trigrams; labelled texts to learn from: in all, and of one language, at most; centroids of one.
-DIMS, SAMPLE_ROWS, SAMPLE_LANG, CENTROIDS = 4096, 8000, 1000, 4
+DIMS, SAMPLE_ROWS, SAMPLE_LANG, CENTROIDS = 4096, 4000, 500, 4
 #: A text is rejected if its cosine is below this share of the lowest hundredth in the sample.
 REACH = 0.25
 _LETTERS = letters_map()
@@ -65,6 +65,7 @@ def vectors(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("language")
     for b in batches:
         for i, j, rows in counts(b.column("text")):
             yield pa.RecordBatch.from_arrays([b.column("lang").slice(i, j - i), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "grams"])
@@ -81,7 +82,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, quota / n)))])
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) / 1_000_000.0
     got = rows.filter(draw < share[F.col("lang")]).limit(2 * sample_rows).mapInArrow(_count_rows, "lang string, grams binary").collect()
-    got = sorted(((r["lang"], bytes(r["grams"])) for r in got))
+    got = sorted((r["lang"], r["grams"]) for r in got)
     names = np.array([a for a, _ in got])
     grams = np.stack([np.frombuffer(g, np.float32) for _, g in got]) if got else np.zeros((0, DIMS), np.float32)
     idf = np.log((1 + len(grams)) / (1 + (grams > 0).sum(axis=0))) + 0.05
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     sent = spark.sparkContext.broadcast(model)  # DIMS x CENTROIDS x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("language")
         for b in batches:
             lang, score, rejected = predict_rows(sent.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
@@ -154,6 +156,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("language")
         for b in batches:
             yield b.filter(pa.array(~predict_rows(sent.value, b.column(text))[2]))
 

@@ -201,6 +201,7 @@ class Packer:
 
 def _pack(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("packing")
         w = words(path)
         packer = Packer(size, TaskContext.get().partitionId() << 32)
         tail = np.array([end], "<u4").tobytes()

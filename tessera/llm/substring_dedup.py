@@ -95,6 +95,7 @@ def _word_runs(column: pa.Array, window: int):
 
 def _find(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("substring_dedup")
         for b in batches:
             k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             for i, _, h, upto, (row, first, n, anchor, _) in _word_runs(b.column("text"), window):
@@ -112,6 +113,7 @@ def _windows(window: int):
     """For the runs named by their first windows: each window with its anchor, offset and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("substring_dedup")
         for b in batches:
             k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             wanted = b.column("firsts")
@@ -146,6 +148,7 @@ def kept_words(text: str | None, removed: list[int] | None) -> tuple[list[bytes]
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("substring_dedup")
     for b in batches:
         n_words, n_removed, kept = [], [], []
         for text, removed in zip(b.column("text"), b.column("removed"), strict=True):
@@ -158,6 +161,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rewrite(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("substring_dedup")
         for b in batches:
             old, spans_of = b.column(text), b.column("_tessera_removed")
             new = old.to_pylist()

@@ -48,6 +48,7 @@ def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("topk_search")
     low = np.uint64((1 << _DOC_BITS) - 1)
 
     def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -169,6 +170,7 @@ def _frequencies(sent):
 
 def _search(sent, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("topk_search")
         names, queries = sent.value  # distinct words; (id, places in names, weights)
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
         for b in batches:
