@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: The white space of the text contracts: space and 0x09 to 0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only while its measured size is within this many bytes.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 128 << 20
 #: Rows that go to a Python worker at once.
 BATCH_ROWS = 512
 
@@ -48,12 +48,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def within(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its counted rows take at most `limit` bytes; else left to a shuffled join.
+def table_bytes(df: DataFrame, row_bytes: int) -> int:
+    """What a written table takes in a broadcast: its rows, at least 16 bytes a column and 32 a row, and its arrays' elements.
 
-    df should be a written table: the count then reads Parquet footers only.
+    Counting rows reads Parquet footers only, counting elements the array columns.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    arrays = [F.sum(F.size(f.name)).alias(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"]
+    counted = df.agg(F.count(F.lit(1)).alias("_n"), *arrays).first()
+    return (counted[0] or 0) * max(row_bytes, 32 + 16 * len(df.columns)) + 8 * sum(v or 0 for v in counted[1:])
+
+
+def within(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if it takes at most `limit` bytes; else left to a shuffled join."""
+    return F.broadcast(df) if table_bytes(df, row_bytes) <= limit else df
 
 
 def ready(spark: SparkSession) -> None:
@@ -118,4 +125,4 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "shared_dir", "table", "tenant", "within", "without", "written"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "shared_dir", "table", "table_bytes", "tenant", "within", "without", "written"]
