@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; every other labelled-or-not text is unlabelled, a mixture with the
-class prior's share of toxic ones. A linear model over hashed words (each counted once a text) is trained
+class prior's share of toxic ones. A linear model over hashed words and word stems (each counted once a text) is trained
 with numpy on the non-negative risk: prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)),
 logistic loss, Adam.
 
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .text import letters_map, steps, words
+from .text import _BYTE, letters_map, span_hash, steps, words
 
 #: Hashed words; texts to learn from at most, toxic and unlabelled; toxic texts a word must be in, and by
 #: how many standard deviations more of them than chance among all texts would have it.
-BITS, POSITIVES, UNLABELLED, LEAST_TEXTS, LEAST_SIGMA = 20, 2000, 8000, 3, 5.0
-STEPS, RATE, DECAY = 300, 0.1, 1e-4
+BITS, POSITIVES, UNLABELLED, LEAST_TEXTS, LEAST_SIGMA = 20, 2000, 8000, 5, 6.0
+STEPS, RATE, DECAY = 300, 0.1, 3e-5
+#: A word longer than so many bytes also counts by those first ones, its stem; each length is hashed in its own way.
+STEMS = ((4, 0xB5297A4D3F84D5B5),)
 _LETTERS = letters_map()
 
 
@@ -37,15 +39,22 @@ class Model:
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, row, hashed word), each word once a row."""
+    """(first row, row after the last, row, hashed word or stem), each once a row."""
     for i, j, data, edges in steps(column):
-        h, starts, _, upto = words(data, edges, _LETTERS)
+        h, starts, ends, upto = words(data, edges, _LETTERS)
         row = np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(upto))
-        both = np.unique((row << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
+        kinds = [(row << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))]
+        values = _BYTE[_LETTERS[data]]
+        for n, base in STEMS:
+            long = ends - starts > n
+            stem = span_hash(values, starts[long], starts[long] + n, base)
+            kinds.append((row[long] << np.uint64(BITS)) | (stem >> np.uint64(64 - BITS)))
+        both = np.unique(np.concatenate(kinds))
         yield i, j, (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.tenant("toxicity")
     for b in batches:
         for i, j, row, word in features(b.column("text")):
             cut = np.searchsorted(row, np.arange(j - i + 1))
@@ -133,6 +142,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     sent = spark.sparkContext.broadcast(model)  # 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("toxicity")
         for b in batches:
             s = scores(sent.value, b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
