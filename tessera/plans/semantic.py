@@ -122,11 +122,11 @@ def subtype_chain(spark, sf_dir):
     return graphs.closure(p)
 
 
-@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07 AND l_orderkey < 3000),
+@query("components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07),
     b(a, z) AS (SELECT 's' || s, 'p' || p FROM e UNION SELECT 'p' || p, 's' || s FROM e), r(a, z) AS (SELECT a, a FROM b UNION SELECT r.a, b.z FROM r JOIN b ON b.a = r.z)
     SELECT a AS node, min(z) AS comp FROM r GROUP BY a""")
 def components(spark, sf_dir):
-    e = Engine(spark, sf_dir, ("lineitem",)).table("lineitem").filter("l_quantity > 49 AND l_tax > 0.07 AND l_orderkey < 3000")
+    e = Engine(spark, sf_dir, ("lineitem",)).table("lineitem").filter("l_quantity > 49 AND l_tax > 0.07")
     e = e.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     return graphs.components(e, nodes)
