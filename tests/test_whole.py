@@ -26,3 +26,18 @@ def test_components_of_late_orders(spark, tmp_path):
         a, b = sorted((find(f"s{s}"), find(f"p{p}")))
         root[b] = a
     assert sorted(run(spark, tmp_path, "components", lineitem=rows)) == sorted((n, find(n)) for n in list(root))
+
+
+def test_subtype_chain_of_large_keys(spark, tmp_path):
+    keys = [1, 2, 5, 150, 199, 200, 250, 500, 1001, 2002]
+    parent = {k: k // 2 for k in keys if k > 1}
+    want = set()
+    for k in parent:
+        up = k
+        for level in range(1, 6):
+            if up not in parent:
+                break
+            up = parent[up]
+            want.add((k, up, level))
+    assert {(2002, 1001, 1), (2002, 250, 3), (500, 250, 1)} <= want
+    assert set(run(spark, tmp_path, "subtype_chain", customer=[{"c_custkey": k} for k in keys])) == want
