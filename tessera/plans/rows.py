@@ -248,12 +248,12 @@ def heuristic_conf(spark, sf_dir):
     return s.groupBy((F.col("id") % 10).alias("g")).agg(F.round(F.least(F.lit(0.95), 0.8 * F.avg("lexical") + 0.1 * F.max(F.col("structural").isNotNull().cast("int")) + 0.1), 6).alias("confidence"))
 
 
-@query("merge_spans", """WITH s AS (SELECT l_suppkey AS key, l_partkey % 500 AS start, l_partkey % 500 + l_linenumber AS "end" FROM lineitem WHERE l_suppkey < 40),
+@query("merge_spans", """WITH s AS (SELECT l_suppkey AS key, l_partkey % 500 AS start, l_partkey % 500 + l_linenumber AS "end" FROM lineitem),
     m AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY key ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS new FROM s),
     i AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m)
     SELECT key, min(start) AS start, max("end") AS "end" FROM i GROUP BY key, island""")
 def merge_spans(spark, sf_dir):
-    s = read(spark, sf_dir, "lineitem").filter("l_suppkey < 40").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 500).alias("start"), (F.col("l_partkey") % 500 + F.col("l_linenumber")).alias("end"))
+    s = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 500).alias("start"), (F.col("l_partkey") % 500 + F.col("l_linenumber")).alias("end"))
     return metrics.merge_spans(s)
 
 

@@ -41,3 +41,17 @@ def test_subtype_chain_of_large_keys(spark, tmp_path):
             want.add((k, up, level))
     assert {(2002, 1001, 1), (2002, 250, 3), (500, 250, 1)} <= want
     assert set(run(spark, tmp_path, "subtype_chain", customer=[{"c_custkey": k} for k in keys])) == want
+
+
+def test_merge_spans_of_every_key(spark, tmp_path):
+    rows = [{"l_suppkey": k, "l_partkey": k * 13 + i * i, "l_linenumber": i % 7 + 1} for k in (1, 39, 40, 41, 700) for i in range(12)]
+    want = []
+    for k in sorted({r["l_suppkey"] for r in rows}):
+        merged = []
+        for a, b in sorted((r["l_partkey"] % 500, r["l_partkey"] % 500 + r["l_linenumber"]) for r in rows if r["l_suppkey"] == k):
+            if merged and merged[-1][1] >= a:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want += [(k, a, b) for a, b in merged]
+    assert sorted(run(spark, tmp_path, "merge_spans", lineitem=rows)) == want
