@@ -66,7 +66,7 @@ BOTH: dict[str, str] = {
     "sparql_builtins": "SELECT n_nationkey, lower(n_name) AS low, CASE WHEN lower(n_name) LIKE '%an%' THEN 1 ELSE 0 END AS has_an, CASE WHEN n_name LIKE 'A%' THEN 1 ELSE 0 END AS starts_a, COALESCE(CAST(n_regionkey AS VARCHAR(10)), '') AS region_text, replace(n_name, 'A', '_') AS replaced FROM nation",
     "lcase_eq": "SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) = '1-urgent'",
     "fn_substr": "SELECT p_partkey, substring(p_name, 2, 5) AS part_of_name FROM part",
-    "fn_date_add": "SELECT o_orderkey, CAST(CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS VARCHAR(10)) AS due FROM orders WHERE o_orderkey < 500",
+    "fn_date_add": "SELECT o_orderkey, CAST(CAST(o_orderdate + INTERVAL '30' DAY AS DATE) AS VARCHAR(10)) AS due FROM orders",
     "fn_date_trunc": "SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR(10)) AS bucket, count(*) AS n FROM orders GROUP BY 1",
     "fn_extract": "SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, count(*) AS n FROM orders GROUP BY 1, 2",
     "fn_concat": "SELECT c_custkey, c_name || ':' || c_mktsegment AS joined, concat(c_name, '/', c_mktsegment) AS also FROM customer",

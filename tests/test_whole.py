@@ -7,7 +7,7 @@ from tessera import registry
 
 def run(spark, folder, name, **tables):
     for table, rows in tables.items():
-        pd.DataFrame(rows).to_parquet(f"{folder}/{table}.parquet")
+        pd.DataFrame(rows).to_parquet(f"{folder}/{table}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
     return [tuple(r) for r in registry.queries()[name](spark, str(folder)).collect()]
 
 
@@ -55,3 +55,24 @@ def test_merge_spans_of_every_key(spark, tmp_path):
                 merged.append([a, b])
         want += [(k, a, b) for a, b in merged]
     assert sorted(run(spark, tmp_path, "merge_spans", lineitem=rows)) == want
+
+
+def test_incremental_dedup_of_all_conversations(spark, tmp_path):
+    rows = [{"conv_id": c, "turn": t} for c in (0, 1, 2, 59, 60, 61, 1000) for t in (1, 2, 2)]
+    assert sorted(run(spark, tmp_path, "incremental_dedup", conversations=rows)) == sorted({(r["conv_id"], r["turn"]) for r in rows})
+
+
+def test_literal_type_of_all_parts(spark, tmp_path):
+    rows = [{"p_partkey": k, "p_retailprice": k + 0.5, "p_brand": "Brand#1"} for k in (1, 49, 50, 9000)]
+    want = {"boolean": 1, "integer": 1, "decimal": 1 + 4, "date": 1, "dateTime": 1, "string": 1 + 4}
+    assert dict(run(spark, tmp_path, "literal_type", part=rows)) == want
+
+
+def test_fn_date_add_of_all_orders(spark, tmp_path):
+    rows = [{"o_orderkey": k, "o_orderdate": pd.Timestamp("1995-01-31")} for k in (1, 499, 500, 90000)]
+    assert sorted(run(spark, tmp_path, "fn_date_add", orders=rows)) == [(k, "1995-03-02") for k in (1, 499, 500, 90000)]
+
+
+def test_upsert_merge_of_all_customers(spark, tmp_path):
+    keys = [1, 2, 6, 99, 100, 101, 102, 5001]
+    assert sorted(run(spark, tmp_path, "upsert_merge", customer=[{"c_custkey": k} for k in keys])) == [(k, "old" if k % 2 else "new") for k in keys]
