@@ -37,12 +37,25 @@ def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int = 300) -> DataFrame:
-    """Edges within one or two hops of the seeds, ordered so that the limit is a definite one."""
-    one = edges.join(seeds.withColumnRenamed("node", "src").distinct(), "src").withColumn("hop", F.lit(1))
-    out = one
+    """Edges around the seeds(node), as they are directed, ordered so that the limit is a definite one.
+
+    One hop: edges from and to the seeds. Two hops: edges from and to all nodes reached (the far sides of bridges
+    too), and all edges from siblings: nodes that refer to what a seed, or a node that refers to a seed, refers to.
+    """
+
+    def among(nodes: DataFrame, side: str) -> DataFrame:
+        return edges.join(nodes.toDF(side).distinct(), side, "left_semi").select("src", "rel", "dst")
+
+    seeds = seeds.select("node")
+    one = _kept(among(seeds, "src").unionByName(among(seeds, "dst")))
+    out = one.withColumn("hop", F.lit(1))
     if hops > 1:
-        reached = one.select(F.col("dst").alias("src")).distinct()
-        out = one.unionByName(edges.join(reached, "src").withColumn("hop", F.lit(2)))
+        reached = one.select(F.col("src").alias("node")).union(one.select("dst")).distinct()
+        referring = one.join(seeds.toDF("dst").distinct(), "dst", "left_semi").select("src")
+        shared = _kept(among(seeds.union(referring), "src").select("dst").distinct())
+        siblings = _kept(among(shared, "dst").select(F.col("src").alias("node")).distinct())
+        two = among(reached.union(siblings), "src").unionByName(among(reached, "dst"))
+        out = out.unionByName(two.withColumn("hop", F.lit(2)))
     return out.groupBy("src", "rel", "dst").agg(F.min("hop").alias("hop")).orderBy("hop", "src", "rel", "dst").limit(limit)
 
 

@@ -64,9 +64,14 @@ def uri_expand(spark, sf_dir):
     return graphs.neighbours(_edges(spark, sf_dir), _seeds(spark, "nation/3", "customer/7")).select("src", "rel", "dst")
 
 
-@query("hop_union", f"""WITH e AS (SELECT * FROM {_EDGES} x), one AS (SELECT *, 1 AS hop FROM e WHERE src IN ('order/1', 'order/5', 'customer/7')),
-    two AS (SELECT e.*, 2 AS hop FROM e WHERE src IN (SELECT dst FROM one))
-    SELECT src, rel, dst, min(hop) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two) t GROUP BY 1, 2, 3 ORDER BY hop, src, rel, dst LIMIT 300""")
+@query("hop_union", f"""WITH e AS (SELECT * FROM {_EDGES} x), s(node) AS (VALUES ('order/1'), ('order/5'), ('customer/7')),
+    outgoing AS (SELECT e.* FROM e WHERE src IN (SELECT node FROM s)), incoming AS (SELECT e.* FROM e WHERE dst IN (SELECT node FROM s)),
+    near(node) AS (SELECT src FROM incoming UNION SELECT dst FROM incoming UNION SELECT src FROM outgoing UNION SELECT dst FROM outgoing),
+    shared(node) AS (SELECT dst FROM outgoing UNION SELECT dst FROM e WHERE src IN (SELECT src FROM incoming)),
+    sibling(node) AS (SELECT src FROM e WHERE dst IN (SELECT node FROM shared))
+    SELECT src, rel, dst, min(hop) AS hop FROM (SELECT *, 1 AS hop FROM outgoing UNION ALL SELECT *, 1 FROM incoming
+    UNION ALL SELECT *, 2 FROM e WHERE src IN (SELECT node FROM near) UNION ALL SELECT *, 2 FROM e WHERE dst IN (SELECT node FROM near)
+    UNION ALL SELECT *, 2 FROM e WHERE src IN (SELECT node FROM sibling)) t GROUP BY 1, 2, 3 ORDER BY hop, src, rel, dst LIMIT 300""")
 def hop_union(spark, sf_dir):
     return graphs.expand(_edges(spark, sf_dir), _seeds(spark, "order/1", "order/5", "customer/7"))
 

@@ -76,3 +76,16 @@ def test_fn_date_add_of_all_orders(spark, tmp_path):
 def test_upsert_merge_of_all_customers(spark, tmp_path):
     keys = [1, 2, 6, 99, 100, 101, 102, 5001]
     assert sorted(run(spark, tmp_path, "upsert_merge", customer=[{"c_custkey": k} for k in keys])) == [(k, "old" if k % 2 else "new") for k in keys]
+
+
+def test_hop_union_takes_every_arm(spark):
+    from tessera.operators import graphs
+
+    one = {("s", "out", "c"), ("b", "in", "s")}
+    sibling, bridge, beyond = {("e", "r", "c"), ("e", "r", "d")}, {("b", "r", "n")}, {("x", "r", "n"), ("x", "r", "y")}
+    far = {("q", "r", "y"), ("u", "r", "v"), ("d", "r", "w")}
+    edges = spark.createDataFrame(sorted(one | sibling | bridge | beyond | far), "src string, rel string, dst string")
+    seeds = spark.createDataFrame([("s",)], "node string")
+    assert {tuple(r)[:3] for r in graphs.expand(edges, seeds, hops=1).collect()} == one
+    got = {tuple(r)[:3]: r["hop"] for r in graphs.expand(edges, seeds).collect()}
+    assert got == {**dict.fromkeys(sibling | bridge | beyond, 2), **dict.fromkeys(one, 1)}
