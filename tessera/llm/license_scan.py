@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 # Usual wordings of licence notices, by family.
 NOTICES: dict[str, tuple[str, ...]] = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at"),
     "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This project is licensed under the terms of the MIT license."),
     "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3"),
@@ -39,7 +39,7 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "proprietary": ("All rights reserved. No part of this publication may be reproduced without prior written permission.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
+    "proprietary": ("All rights reserved.", "No part of this publication may be reproduced without prior written permission.", "Confidential and proprietary.", "Unauthorized copying of this file is strictly prohibited."),
 }
 # Sentences that use the notices' words without being one.
 DECOYS = (

@@ -264,6 +264,14 @@ def test_license_scan(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_sentences_alone(spark):
+    texts = {1: f"{words(20, 1)}\nAll rights reserved.\n{words(20, 2)}", 2: "All rights of way are reserved for the public.", 3: "Confidential and proprietary.", 4: "You may obtain a copy of the License at", 5: "All rights reserved. No part of this publication may be reproduced without prior written permission."}
+    texts |= {10 + i: f"{words(50, i)}\nAll rights reserved." if i % 2 else words(50, i) for i in range(40)}
+    got = {r["doc_id"]: r["families"] for r in license_scan.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(1, 6)] == ["proprietary", "", "proprietary", "apache-2.0", "proprietary"]
+    assert [got[10 + i] for i in range(40)] == ["", "proprietary"] * 20
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, []) if False else spark.createDataFrame([], KIND)
     assert exact_dedup.exact_dedup(empty).count() == 0
