@@ -20,13 +20,13 @@ class Engine:
         return tables.read(self.spark, self.sf_dir, name)
 
     def sql(self, statement: str, profile: sqlgate.Profile | None = None, max_rows: int | None = ROW_CAP, args: dict | None = None) -> DataFrame:
-        """The rows of a read-only statement; named parameters (:name) are bound, never pasted."""
-        sqlgate.validate(self.spark, statement)
-        if profile is not None:
-            sqlgate.evaluate(self.spark, statement, profile)
-        if max_rows is not None:
-            statement = sqlgate.capped(self.spark, statement, min(max_rows, ROW_CAP))
-        return self.spark.sql(statement, args=args or {})
+        """The rows of a read-only statement, max_rows at most; named parameters (:name) are bound, never pasted."""
+        if profile is None:
+            sqlgate.validate(self.spark, statement)
+        else:
+            sqlgate.evaluate(self.spark, statement, profile, args)
+        rows = self.spark.sql(statement, args=args or {})
+        return rows if max_rows is None else rows.limit(min(max_rows, ROW_CAP))
 
 
 def truncated(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
