@@ -15,6 +15,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the text contracts: space and 0x09 to 0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -49,13 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table_bytes(df: DataFrame, row_bytes: int) -> int:
-    """What a written table takes in a broadcast: its rows, at least 16 bytes a column and 32 a row, and its arrays' elements.
+    """What a written table takes in a broadcast: its rows, at least 16 bytes a column and 32 a row, its arrays' elements
+    and its binary columns' bytes.
 
-    Counting rows reads Parquet footers only, counting elements the array columns.
+    Counting rows reads Parquet footers only, counting elements and bytes these columns.
     """
-    arrays = [F.sum(F.size(f.name)).alias(f.name) for f in df.schema.fields if f.dataType.typeName() == "array"]
-    counted = df.agg(F.count(F.lit(1)).alias("_n"), *arrays).first()
-    return (counted[0] or 0) * max(row_bytes, 32 + 16 * len(df.columns)) + 8 * sum(v or 0 for v in counted[1:])
+    more = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            each = 8 + 16 * len(f.dataType.elementType.fields) if isinstance(f.dataType.elementType, T.StructType) else 8
+            more.append(F.sum(F.size(f.name)) * each)
+        elif isinstance(f.dataType, T.BinaryType):
+            more.append(F.sum(F.octet_length(f.name)))
+    counted = df.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{i}") for i, c in enumerate(more)]).first()
+    return (counted[0] or 0) * max(row_bytes, 32 + 16 * len(df.columns)) + sum(v or 0 for v in counted[1:])
 
 
 def within(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -90,7 +98,7 @@ _tenant: list[str] = []
 def tenant(who: str) -> None:
     """Called where a worker begins a task: if another operator ran here before, what it kept for reuse is let go."""
     if _tenant and _tenant[0] != who:
-        for module, clear in (("text", lambda m: m._powers.clear()), ("packing", lambda m: m.words.cache_clear()), ("bpe", lambda m: m.codec.cache_clear())):
+        for module, clear in (("packing", lambda m: m.words.cache_clear()), ("bpe", lambda m: m.codec.cache_clear())):
             if m := sys.modules.get(f"{__package__}.{module}"):
                 clear(m)
         gc.collect()

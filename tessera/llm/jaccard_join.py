@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .substring_dedup import _seeds
-from .text import mix, steps, words
+from .text import gram_hash, mix, steps, words
 
 #: Tokens of a signature; bucket size for brute force; members of a block; levels of the tree; recall at the threshold.
 TOKENS, SMALL, BLOCK, LEVELS, RECALL = 96, 64, 512, 3, 0.999
@@ -61,7 +60,7 @@ def shingles(column: pa.Array, width: int = 5) -> Iterator[tuple[int, int, np.nd
         n = np.diff(upto)
         row = np.repeat(np.arange(j - i), n)
         if len(h) >= width:
-            s = _seeds(h, width)
+            s = gram_hash(h, width)
             at = np.arange(len(s))
             full = at + width <= upto[row[: len(s)] + 1]
             s, srow = s[full], row[: len(s)][full]
@@ -70,7 +69,7 @@ def shingles(column: pa.Array, width: int = 5) -> Iterator[tuple[int, int, np.nd
         short = np.flatnonzero((n > 0) & (n < width))
         extra = np.zeros(len(short), np.uint64)
         for x, r in enumerate(short):
-            extra[x] = mix(_seeds(h[upto[r] : upto[r + 1]], int(n[r])) + np.uint64(n[r]))[0]
+            extra[x] = gram_hash(h[upto[r] : upto[r + 1]], int(n[r]))[0]
         s, srow = np.r_[s, extra], np.r_[srow, short]
         order = np.lexsort((s, srow))
         s, srow = s[order], srow[order]

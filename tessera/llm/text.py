@@ -3,30 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step handles; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
-_MASK = (1 << 64) - 1
-_P = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a word that are hashed in steps of eight; a longer word is hashed by blake2b.
+LONG = 64
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown as needed."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base & _MASK, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+#: (bytes, length, chain) multipliers of two independent hashes
+_SALTS = tuple(tuple(int(x) | 1 for x in np.random.default_rng(20240229 + k).integers(1, 2**63, 3, dtype=np.uint64)) for k in (0, 1))
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,13 +62,51 @@ def spans(blank: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, edges)
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _P) -> np.ndarray:
-    """Position-independent 64-bit hash of values[start:end] for each span."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n), out=total[1:])
-    back = powers(pow(base, -1, 1 << 64), n + 1)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0]..end[0]-1, start[1]..end[1]-1, and so on."""
+    n = end - start
+    total = np.cumsum(n)
+    return np.arange(total[-1] if len(n) else 0) + np.repeat(start - (total - n), n)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes data[start:end] of each word; `which` chooses one of two independent hashes.
+
+    Eight bytes at a time are mixed into the state, so no algebraic structure of the bytes survives.
+    """
+    byte, length, chain = (np.uint64(x) for x in _SALTS[which])
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+    h = mix(mix((eight[starts] & _LOW[np.minimum(n, 8)]) * byte) + n.astype(np.uint64) * length)
+    left = np.flatnonzero((n > 8) & (n <= LONG))
+    at = 8
+    while len(left):
+        part = eight[starts[left] + at] & _LOW[np.minimum(n[left] - at, 8)]
+        h[left] = mix(h[left] * chain + mix(part * byte))
+        at += 8
+        left = left[n[left] > at]
+    for i in np.flatnonzero(n > LONG):
+        digest = blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([which])).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def gram_hash(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hash of each run of k consecutive values, built from runs of half the length, mixed at each step."""
+    c = np.uint64(_SALTS[which][2])
+    n, total, done = len(h) - k + 1, None, 0
+    part, width = h, 1
+    while True:
+        if k & width:
+            piece = part[done : done + n]
+            total = piece if total is None else mix(total * c + piece)
+            done += width
+        if 2 * width > k:
+            break
+        part = mix(part[: len(part) - width] * c + part[width:])
+        width *= 2
+    return mix(total + np.uint64(k))
 
 
 def words(data: np.ndarray, edges: np.ndarray, map_to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +117,7 @@ def words(data: np.ndarray, edges: np.ndarray, map_to: np.ndarray | None = None)
     if map_to is not None:
         data = map_to[data]
     starts, ends, upto = spans(_WHITE[data], edges)
-    return span_hash(_BYTE[data], starts, ends), starts, ends, upto
+    return word_hash(data, starts, ends), starts, ends, upto
 
 
 def letters_map() -> np.ndarray:

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .text import _BYTE, letters_map, span_hash, steps, words
+from .text import letters_map, steps, word_hash, words
 
 #: Hashed words; texts to learn from at most, toxic and unlabelled; toxic texts a word must be in, and by
 #: how many standard deviations more of them than chance among all texts would have it.
 BITS, POSITIVES, UNLABELLED, LEAST_TEXTS, LEAST_SIGMA = 20, 2000, 8000, 5, 6.0
 STEPS, RATE, DECAY = 300, 0.1, 3e-5
-#: A word longer than so many bytes also counts by those first ones, its stem; each length is hashed in its own way.
-STEMS = ((4, 0xB5297A4D3F84D5B5),)
+#: A word longer than so many bytes also counts by those first ones, its stem, under another hash.
+STEM = 4
 _LETTERS = letters_map()
 
 
@@ -43,13 +43,9 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
     for i, j, data, edges in steps(column):
         h, starts, ends, upto = words(data, edges, _LETTERS)
         row = np.repeat(np.arange(j - i, dtype=np.uint64), np.diff(upto))
-        kinds = [(row << np.uint64(BITS)) | (h >> np.uint64(64 - BITS))]
-        values = _BYTE[_LETTERS[data]]
-        for n, base in STEMS:
-            long = ends - starts > n
-            stem = span_hash(values, starts[long], starts[long] + n, base)
-            kinds.append((row[long] << np.uint64(BITS)) | (stem >> np.uint64(64 - BITS)))
-        both = np.unique(np.concatenate(kinds))
+        long = ends - starts > STEM
+        stem = word_hash(_LETTERS[data], starts[long], starts[long] + STEM, 1)
+        both = np.unique(np.r_[row << np.uint64(BITS) | h >> np.uint64(64 - BITS), row[long] << np.uint64(BITS) | stem >> np.uint64(64 - BITS)])
         yield i, j, (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
