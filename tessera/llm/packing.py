@@ -3,8 +3,9 @@
 Each task keeps a level array: how many open sequences are filled to each level. A document goes to the
 level (or a new sequence) that makes the sum of the squared counts smallest; a full sequence is written and
 leaves the array. What a document has beyond whole sequences is the piece that is placed; whole sequences
-need no placing. At the end of a task the open sequences are emptied into one another, pieces cut where
-needed, and the last one is cut into sequences whose lengths are powers of two, which need no padding.
+need no placing. Only at the end of a task the sequences still open are emptied into one another, pieces cut
+where needed, and the last one is cut into sequences whose lengths are powers of two, which need no padding.
+The open sequences are all that a task holds: a few hundred for mixed lengths, its input partition at the most.
 
 Null texts count as empty and have the end token only. Repeated rows and ids are packed each for itself. An
 empty table gives an empty result. Extra columns are ignored. A task depends on its input partition alone,
@@ -15,9 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -28,17 +29,29 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Open sequences of a task are emptied into one another beyond this number; words whose ids a worker keeps.
-OPEN, KEPT = 4096, 800_000
-_WHITE = re.compile(r"[ \t\n\r]+")
-_FINAL = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+#: Words whose ids a worker keeps in each of two generations.
+KEPT = 300_000
 _SCHEMA = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: Control characters that are white space to some libraries only.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 itself, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
 class Words:
-    """Ids of texts by a tokenizer that drops white space and never looks across it; equal words are encoded once."""
+    """Ids of texts by a tokenizer that composes (NFC), makes letters small, drops white space and never looks across it.
+
+    A text is made small as a whole and split at white space; each word that differs is taken apart as the tokenizer
+    does, and its parts go to the tokenizer's model. What can't be settled so (texts that aren't composed or that hold a
+    capital sigma, control strings) goes through the whole tokenizer, word by word.
+    """
 
-    #: What the tokenizer splits a word at; each part ends in a token that has the end-of-word mark.
+    #: What the tokenizer splits a word at.
     PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
@@ -47,57 +60,65 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = regex.compile(self.PARTS)
-        self.kept: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _alone(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.kept[w] = np.array(e.ids, "<u4").tobytes()
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes many words in one go and cuts the ids at the ends of words; checks that the cuts fit."""
-        plain, odd = [], []
+    def _learn(self, words: set[bytes]) -> None:
+        """Keeps the ids of words that are small and composed already; those of the older generation move on."""
         for w in words:
-            (plain if w.isascii() or is_normalized("NFC", w) else odd).append(w)
-        self._alone(odd)
-        for at in range(0, len(plain), 4096):
-            group = plain[at : at + 4096]
-            joined = " ".join(group)
-            if any(s in joined for s in self.special):
-                self._alone(group)
-                continue
-            n = np.array([1 if w.isalpha() else len(self.parts.findall(w.lower())) for w in group])
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            upto = np.cumsum(n)
-            if len(ends) != upto[-1] or n.min() < 1:
-                self._alone(group)
+            if w in self.older:
+                self.kept[w] = self.older[w]
                 continue
-            cut = np.r_[0, ends[upto - 1]] * 4
-            raw = ids.tobytes()
-            self.kept.update((w, raw[a:b]) for w, a, b in zip(group, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words whose ids, one after the other, are the text's. Capitals and a final comma or full stop, which the
-        tokenizer takes apart itself, are settled here, so that fewer words differ."""
-        if text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text)):
-            text = text.lower()
-        return _WHITE.split(_FINAL.sub(r" \1", text))
+            text = w.decode()
+            if text.isalpha():
+                self.kept[w] = self._part(text)
+            elif text[-1] in ".," and text[:-1].isalpha():  # a word before a comma or full stop
+                base = w[:-1]
+                if base not in self.kept:
+                    self.kept[base] = self._part(text[:-1])
+                self.kept[w] = self.kept[base] + self._part(text[-1])
+            elif _ODD.search(text):
+                self.kept[w] = self._whole([text])
+            else:
+                self.kept[w] = b"".join(map(self._part, self.parts.findall(text)))
+
+    def _whole(self, words: list[str]) -> bytes:
+        return b"".join(array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
+    def _settled(self, text: str) -> bool:
+        return text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
+        """The ids of each text, little-endian unsigned 32-bit."""
         if len(self.kept) > KEPT:
-            self.kept.clear()
-        self.kept[""] = b""
-        new = set(chain.from_iterable(split)).difference(self.kept)
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.kept.__getitem__, s)) for s in split]
+            self.kept, self.older = {}, self.kept
+        out: list[bytes] = []
+        split: list[bytes] = []
+        edges = [0]
+        for text in texts:
+            small = text.lower() if self._settled(text) else None
+            if small is None or ("<|" in small and any(s in small for s in self.special)):
+                out.append(self._whole(text.split()))
+            else:
+                out.append(b"")
+                split += small.encode().split()
+            edges.append(len(split))
+        got = list(map(self.kept.get, split))
+        missing = [i for i, g in enumerate(got) if g is None]
+        if missing:
+            self._learn({split[i] for i in missing})
+            for i in missing:
+                got[i] = self.kept[split[i]]
+        return [o or b"".join(got[a:b]) for o, a, b in zip(out, edges[:-1], edges[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -112,7 +133,6 @@ class Packer:
         self.size, self.next = size, first
         self.level = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list]] = {}
-        self.count = 0
 
     def _close(self, pieces: list) -> list[tuple]:
         out, offset = [], 0
@@ -145,21 +165,17 @@ class Packer:
             self.level[h] -= 1
         else:
             pieces = []
-            self.count += 1
         pieces = [*pieces, piece]
         if h + s == size:
-            self.count -= 1
             yield from self._close(pieces)
         else:
             self.level[h + s] += 1
             self.open.setdefault(h + s, []).append(pieces)
-            if self.count > OPEN:
-                yield from self.drain(False)
 
-    def drain(self, last: bool = True) -> Iterator[tuple]:
-        """Empties the least filled sequences into the fullest; at the last, cuts the rest into powers of two."""
+    def drain(self) -> Iterator[tuple]:
+        """Empties the least filled sequences into the fullest and cuts the last into powers of two."""
         held = [(h, p) for h in sorted(self.open) for p in self.open[h]]
-        self.open, self.count = {}, 0
+        self.open = {}
         self.level[:] = 0
         low, taken = 0, []
         while low < len(held):
@@ -180,12 +196,6 @@ class Packer:
                 break
             yield from self._close(pieces)
         rest = taken
-        if not last:
-            if rest:
-                fill = sum(len(p[2]) // 4 for p in rest)
-                self.open[fill], self.count = [rest], 1
-                self.level[fill] = 1
-            return
         left = sum(len(p[2]) // 4 for p in rest)
         for power in (1 << b for b in range(left.bit_length() - 1, -1, -1) if left >> b & 1):
             part, need = [], power
