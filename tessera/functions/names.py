@@ -7,23 +7,46 @@ from pyspark.sql import functions as F
 
 # SQL type names and their XSD names.
 XSD = {
-    "INT": "integer", "INTEGER": "integer", "BIGINT": "long", "SMALLINT": "short", "TINYINT": "byte", "FLOAT": "float", "REAL": "float", "DOUBLE": "double", "DECIMAL": "decimal", "NUMERIC": "decimal",
-    "VARCHAR": "string", "CHAR": "string", "TEXT": "string", "STRING": "string", "UUID": "string", "BOOLEAN": "boolean", "BOOL": "boolean", "DATE": "date", "TIMESTAMP": "dateTime", "DATETIME": "dateTime",
+    "INT": "integer", "BIGINT": "long", "SMALLINT": "short", "TINYINT": "byte", "FLOAT": "float", "DOUBLE": "double", "DECIMAL": "decimal", "NUMERIC": "decimal", "VARCHAR": "string", "TEXT": "string",
+    "CHAR": "string", "STRING": "string", "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "dateTime", "DATETIME": "dateTime", "TIME": "time", "BINARY": "hexBinary", "BLOB": "hexBinary", "UUID": "string",
 }
+# What Spark calls some of them.
+SPARK_XSD = {"TIMESTAMP_NTZ": "dateTime", "INTEGER": "integer", "LONG": "long", "SHORT": "short", "BYTE": "byte", "REAL": "float", "BOOL": "boolean"}
 # Families of column types.
 FAMILIES = {
-    "int": ("int", "integer", "bigint", "smallint", "tinyint", "serial", "long", "short"),
-    "float": ("float", "double", "real", "double precision"),
-    "decimal": ("decimal", "numeric", "number", "money"),
-    "string": ("string", "varchar", "char", "text", "uuid", "nvarchar"),
-    "bool": ("bool", "boolean", "bit"),
+    "int": ("int", "integer", "bigint", "smallint", "tinyint", "serial", "bigserial"),
+    "float": ("float", "double", "double precision", "real"),
+    "decimal": ("decimal", "numeric", "money"),
+    "string": ("varchar", "character varying", "char", "character", "text", "string", "uuid"),
+    "bool": ("boolean", "bool"),
     "date": ("date",),
-    "timestamp": ("timestamp", "datetime", "timestamptz"),
-    "time": ("time",),
+    "timestamp": ("timestamp", "timestamp without time zone", "timestamp with time zone", "datetime"),
+    "time": ("time", "time without time zone"),
 }
+# What Spark calls some of them.
+SPARK_FAMILIES = {"timestamp_ntz": "timestamp", "timestamp_ltz": "timestamp"}
 # Words that make a text column a number by its name.
-NUMERIC_WORDS = ("amount", "balance", "price", "cost", "total", "rate", "quantity", "percent", "score", "discount", "tax", "salary", "revenue", "premium", "fee")
-XSD_ALIASES = {"int": "integer", "integer": "integer", "str": "string", "string": "string", "bool": "boolean", "boolean": "boolean", "datetime": "dateTime", "timestamp": "dateTime", "date": "date", "float": "float", "double": "double", "decimal": "decimal", "number": "decimal", "long": "long"}
+NUMERIC_WORDS = (
+    "amount", "total", "sum", "count", "price", "cost", "revenue", "profit", "salary", "income", "balance", "budget", "spent", "remaining", "quantity", "rate", "ratio", "percentage", "pct", "score", "rating",
+    "weight", "height", "width", "length", "size", "age", "duration", "distance", "consumption", "lat", "lng", "longitude", "latitude", "altitude", "elevation",
+)
+# The names of XSD's built-in types, and what is called otherwise elsewhere.
+XSD_NAMES = (
+    "string", "boolean", "decimal", "float", "double", "duration", "dateTime", "time", "date", "gYearMonth", "gYear", "gMonthDay", "gDay", "gMonth", "hexBinary", "base64Binary", "anyURI", "QName", "NOTATION",
+    "normalizedString", "token", "language", "Name", "NCName", "NMTOKEN", "NMTOKENS", "ENTITY", "ENTITIES", "ID", "IDREF", "IDREFS",
+    "integer", "nonNegativeInteger", "nonPositiveInteger", "positiveInteger", "negativeInteger", "long", "int", "short", "byte", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte",
+    "dateTimeStamp", "dayTimeDuration", "yearMonthDuration",
+)
+XSD_ALIASES = {
+    "datetime": "dateTime", "timestamp": "dateTime", "timestamptz": "dateTime", "timestamp_with_timezone": "dateTime", "varchar": "string", "char": "string", "text": "string", "nvarchar": "string", "clob": "string",
+    "bool": "boolean", "number": "decimal", "numeric": "decimal", "bigint": "long", "smallint": "short", "tinyint": "byte", "real": "double", "uuid": "string", "blob": "hexBinary", "binary": "hexBinary",
+}
+#: The texts that a type allows; of whole numbers also the range.
+_LEXICAL = {
+    "boolean": "^(true|false|0|1)$", "decimal": r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$", "integer": "^[+-]?[0-9]+$", "double": r"^([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN)$",
+    "dateTime": r"^-?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$", "hexBinary": "^([0-9a-fA-F]{2})*$",
+}
+_RANGES = {"long": 63, "int": 31, "short": 15, "byte": 7}
 
 
 def _lookup(key: Column, table: dict[str, str], default: Column) -> Column:
@@ -88,27 +111,35 @@ def literal_type(c: Column) -> Column:
 
 
 def xsd_type(sql_type: Column) -> Column:
-    return _lookup(F.upper(F.trim(F.regexp_replace(sql_type, r"\(.*\)", ""))), XSD, F.lit("string"))
+    """XSD name of a SQL type, its length left out; string if it isn't known."""
+    return _lookup(F.upper(F.trim(F.split_part(sql_type, F.lit("("), F.lit(1)))), XSD | SPARK_XSD, F.lit("string"))
 
 
 def xsd_type_named(sql_type: Column, name: Column) -> Column:
     """As xsd_type, but a text column whose name says a number is decimal: the word, or the word behind or before a _."""
     words = "|".join(NUMERIC_WORDS)
-    numeric = F.lower(name).rlike(f"^(({words})|.*_({words})|({words})_.*)$")
+    numeric = F.lower(F.trim(name)).rlike(f"^(({words})|.*_({words})|({words})_.*)$")
     kind = xsd_type(sql_type)
     return F.when((kind == "string") & numeric, "decimal").otherwise(kind)
 
 
 def type_family(sql_type: Column) -> Column:
-    table = {name: family for family, names in FAMILIES.items() for name in names}
-    base = F.lower(F.trim(F.regexp_replace(sql_type, r"\(.*\)", "")))
-    return _lookup(base, table, base)
+    """Family of a type's spellings; a type of no family is its own, none at all is `unknown`."""
+    table = {name: family for family, names in FAMILIES.items() for name in names} | SPARK_FAMILIES
+    base = F.lower(F.trim(F.split_part(F.coalesce(sql_type, F.lit("")), F.lit("("), F.lit(1))))
+    return F.when(base == "", "unknown").otherwise(_lookup(base, table, base))
 
 
 def canonical_xsd(token: Column, text: Column) -> Column:
-    """The token's usual name if the text is valid for it; unknown tokens and invalid texts leave it as it is."""
-    name = _lookup(F.lower(token), XSD_ALIASES, F.lit(None).cast("string"))
-    valid = F.when(name == "integer", text.rlike(r"^[+-]?[0-9]+$")).when(name == "decimal", text.rlike(r"^[+-]?[0-9]*\.?[0-9]+$")).when(name == "boolean", text.isin("true", "false", "0", "1")).otherwise(True)
+    """The token's usual name (another case, or an alias) if the text is valid for it; else the token as it is."""
+    usual = {n.lower(): n for n in XSD_NAMES}
+    name = F.when(token.isin(*XSD_NAMES), token).otherwise(_lookup(F.lower(token), XSD_ALIASES | usual, F.lit(None).cast("string")))
+    valid = F.lit(True)
+    for kind, pattern in _LEXICAL.items():
+        valid = F.when(name == kind, text.rlike(pattern)).otherwise(valid)
+    for kind, bits in _RANGES.items():
+        whole = F.try_to_number(text, F.lit("S9999999999999999999")).cast("decimal(20,0)")
+        valid = F.when(name == kind, F.coalesce(text.rlike(_LEXICAL["integer"]) & whole.between(-(2**bits), 2**bits - 1), F.lit(False))).otherwise(valid)
     return F.when(name.isNotNull() & valid, name).otherwise(token)
 
 

@@ -9,10 +9,11 @@ from tessera.functions import names
 from tessera.operators import graphs, induce, metrics, quality, vectors
 from tessera.registry import query
 from tessera.sources import catalog, documents
-from tessera.sources.tables import read
+from tessera.sources.tables import TABLES, read
 
 _DOT = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 _COS = f"({_DOT.format('{0}', '{1}')} / (sqrt({_DOT.format('{0}', '{0}')}) * sqrt({_DOT.format('{1}', '{1}')})))"
+_TABLES_SQL = "table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
 _STOP = ("the", "of", "and", "with", "that", "for")
 _STOP_SQL = ", ".join(f"'{w}'" for w in _STOP)
 
@@ -110,12 +111,11 @@ def ground_exact(spark, sf_dir):
     return p.join(n, "k", "left").select("p_partkey", F.coalesce("hit", F.lit(0.5)).alias("confidence"))
 
 
-@query("schema_retrieve", "SELECT * FROM (SELECT 'part' AS t UNION ALL SELECT 'partsupp') x WHERE t = 'part'")
+@query("schema_retrieve", f"SELECT table_name AS t, count(*) AS n FROM information_schema.columns WHERE {_TABLES_SQL} AND regexp_matches(column_name, 'key|type|price|text') GROUP BY 1 ORDER BY n DESC, t LIMIT 7")
 def schema_retrieve(spark, sf_dir):
-    """Tables whose column names hold a term of the question, best first."""
-    cols = catalog.discover_columns(spark, sf_dir, ("region", "nation", "part"))
-    hit = F.split(F.lower("column_name"), "_")[1].isin("brand", "type", "size")
-    return cols.filter(hit).groupBy(F.col("table_name").alias("t")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(7).select("t")
+    """Of all tables the seven whose column names hold the most terms of the question, best first."""
+    cols = catalog.discover_columns(spark, sf_dir)
+    return cols.filter(F.col("column_name").rlike("key|type|price|text")).groupBy(F.col("table_name").alias("t")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(7)
 
 
 # --- names, types, text ----------------------------------------------------
@@ -126,12 +126,12 @@ def norm_predicate(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", names.normal_predicate(F.col("p_type")).alias("name"))
 
 
-_CAMEL = "(VALUES ('FinancialInstrument'), ('XMLHttpRequest'), ('nation'), ('HTTPServer'), ('aB')) v(x)"
-
-
-@query("camel_spaced", f"SELECT x, regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g') AS spaced FROM {_CAMEL}")
+@query("camel_spaced", "SELECT p_partkey, split_part(p_name, ' ', 1) || ' ' || p_type[1] || lower(p_type[2:]) || ' HTTP ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS spaced FROM part")
 def camel_spaced(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("FinancialInstrument", "XMLHttpRequest", "nation", "HTTPServer", "aB")], "x string").select("x", names.camel_spaced(F.col("x")).alias("spaced"))
+    """redEconomyHTTPWidget and its like."""
+    first, second = (F.split_part("p_name", F.lit(" "), F.lit(k)) for k in (1, 2))
+    name = F.concat(first, F.initcap(F.lower("p_type")), F.lit("HTTP"), F.initcap(second))
+    return read(spark, sf_dir, "part").select("p_partkey", names.camel_spaced(name).alias("spaced"))
 
 
 _WORDS = "list_filter(regexp_split_to_array(regexp_replace(c_mktsegment || ' ' || c_name, '[^a-zA-Z0-9\\s_-]', '', 'g'), '[\\s_-]+'), lambda w: w <> '')"
@@ -174,42 +174,39 @@ def literal_type(spark, sf_dir):
     return v.groupBy(names.literal_type(F.col("v")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-_TYPES = [("VARCHAR(20)", "note"), ("bigint", "id"), ("DECIMAL(15,2)", "x"), ("char(1)", "total_amount"), ("text", "price"), ("datetime", "at"), ("geometry", "rate_code"), ("double", "v"), ("nvarchar(5)", "fee")]
-_TYPE_ROWS = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPES) + ") v(t, c)"
-
-
-def _types(spark):
-    return spark.createDataFrame(_TYPES, "t string, c string")
-
-
-def _sql_case(table: dict[str, str], key: str, default: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
-
+# DuckDB's names of the columns' types and what they are in XSD
+_XSD_SQL = "CASE data_type WHEN 'BIGINT' THEN 'long' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'dateTime' WHEN 'DATE' THEN 'date' ELSE 'string' END"
 
-_BARE = "trim(regexp_replace(t, '\\(.*\\)', ''))"
 
-
-@query("type_map", f"SELECT t, c, {_sql_case(names.XSD, f'upper({_BARE})', chr(39) + 'string' + chr(39))} AS xsd FROM {_TYPE_ROWS}")
+@query("type_map", f"SELECT table_name, column_name, {_XSD_SQL} AS xsd FROM information_schema.columns WHERE {_TABLES_SQL}")
 def type_map(spark, sf_dir):
-    return _types(spark).select("t", "c", names.xsd_type(F.col("t")).alias("xsd"))
+    """Every column's XSD type."""
+    return catalog.discover_columns(spark, sf_dir).select("table_name", "column_name", names.xsd_type(F.col("data_type")).alias("xsd"))
 
 
-@query("type_map_named", f"SELECT t, c, CASE WHEN x = 'string' AND regexp_matches(lower(c), '^(({'|'.join(names.NUMERIC_WORDS)})|.*_({'|'.join(names.NUMERIC_WORDS)})|({'|'.join(names.NUMERIC_WORDS)})_.*)$') THEN 'decimal' ELSE x END AS xsd FROM (SELECT t, c, {_sql_case(names.XSD, f'upper({_BARE})', chr(39) + 'string' + chr(39))} AS x FROM {_TYPE_ROWS}) y")
+@query("type_map_named", """SELECT e.event_type AS said, p.p_name AS about, count(*) AS n, CASE WHEN e.event_type IN ('click', 'view') AND right(p.p_name, 4) <> 'ring' THEN 'decimal' ELSE 'string' END AS xsd
+    FROM events e JOIN part p ON p.p_partkey = e.event_id GROUP BY 1, 2""")
 def type_map_named(spark, sf_dir):
-    return _types(spark).select("t", "c", names.xsd_type_named(F.col("t"), F.col("c")).alias("xsd"))
+    """A text column named after a number is a decimal: names are made from events and parts, some with a number's word in front."""
+    j = read(spark, sf_dir, "events").join(read(spark, sf_dir, "part"), F.col("event_id") == F.col("p_partkey")).groupBy(F.col("event_type").alias("said"), F.col("p_name").alias("about")).agg(F.count("*").alias("n"))
+    word = F.when(F.col("said") == "click", "Total_").when(F.col("said") == "view", "lat_").otherwise("grand")
+    name = F.when(F.col("about").endswith("ring"), F.regexp_replace("about", " ", "_")).otherwise(F.concat(word, F.regexp_replace("about", " ", "_")))
+    return j.select("said", "about", "n", names.xsd_type_named(F.lit("varchar(20)"), name).alias("xsd"))
 
 
-@query("type_family", f"SELECT t, c, {_sql_case({n: f for f, ns in names.FAMILIES.items() for n in ns}, f'lower({_BARE})', f'lower({_BARE})')} AS family FROM {_TYPE_ROWS}")
+@query("type_family", f"SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'int' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' WHEN 'VARCHAR' THEN 'string' ELSE 'array<float>' END AS family FROM information_schema.columns WHERE {_TABLES_SQL}")
 def type_family(spark, sf_dir):
-    return _types(spark).select("t", "c", names.type_family(F.col("t")).alias("family"))
-
-
-_TOKENS = [("Int", "5"), ("int", "x"), ("STR", "a"), ("Decimal", "1.5"), ("number", "many"), ("geo", "1"), ("bool", "true"), ("timestamp", "t")]
+    return catalog.discover_columns(spark, sf_dir).select("table_name", "column_name", names.type_family(F.col("data_type")).alias("family"))
 
 
-@query("xsd_canon", "SELECT token, v, CASE WHEN n IS NULL OR NOT CASE n WHEN 'integer' THEN regexp_matches(v, '^[+-]?[0-9]+$') WHEN 'decimal' THEN regexp_matches(v, '^[+-]?[0-9]*\\.?[0-9]+$') WHEN 'boolean' THEN v IN ('true', 'false', '0', '1') ELSE true END THEN token ELSE n END AS canon FROM (SELECT token, v, " + _sql_case(names.XSD_ALIASES, "lower(token)", "NULL") + " AS n FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TOKENS) + ") t(token, v)) x")
+@query("xsd_canon", """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey <= 32767 THEN 'short' ELSE 'SmallInt' END WHEN 'P' THEN 'decimal'
+    ELSE CASE WHEN o_orderpriority = '5-LOW' THEN 'timestamp' ELSE 'geometry' END END AS canon FROM orders""")
 def xsd_canon(spark, sf_dir):
-    return spark.createDataFrame(_TOKENS, "token string, v string").select("token", "v", names.canonical_xsd(F.col("token"), F.col("v")).alias("canon"))
+    """An alias becomes the usual name where the text is valid for it, else it stays; so does what isn't known."""
+    o = read(spark, sf_dir, "orders")
+    token = F.when(F.col("o_orderstatus") == "F", "SmallInt").when(F.col("o_orderstatus") == "P", "NUMBER").when(F.col("o_orderpriority") == "5-LOW", "timestamp").otherwise("geometry")
+    text = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string")).when(F.col("o_orderstatus") == "P", F.col("o_totalprice").cast("decimal(18,2)").cast("string")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", names.canonical_xsd(token, text).alias("canon"))
 
 
 @query("term_extract", f"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'), lambda t: length(t) > 2 AND t NOT IN ({_STOP_SQL}))[:8], ' ') AS terms FROM conversations")
@@ -227,11 +224,14 @@ def datamark(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(names.datamarked(F.col("text")).cast("binary")).alias("marked"))
 
 
-@query("json_dialect", "SELECT * FROM (VALUES (1, 'b'), (2, 'c'), (3, '')) t(id, expression)")
+@query("json_dialect", """SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type WHEN 2 THEN p_name ELSE '' END AS expression FROM part""")
 def json_dialect(spark, sf_dir):
     """The TRINO expression if there is one, else the first, else nothing; broken JSON gives nothing."""
-    rows = [(1, '[{"dialect":"ANSI","expression":"a"},{"dialect":"trino","expression":"b"}]'), (2, '[{"dialect":"ANSI","expression":"c"}]'), (3, "{broken")]
-    d = spark.createDataFrame(rows, "id int, j string").withColumn("a", F.from_json("j", "array<struct<dialect:string,expression:string>>"))
+    entry = lambda dialect, c: F.concat(F.lit('{"dialect":"' + dialect + '","expression":"'), F.col(c), F.lit('"}'))
+    kind = F.col("p_size") % 4
+    j = F.when(kind == 0, F.concat(F.lit("["), entry("ANSI", "p_name"), F.lit(","), entry("trino", "p_brand"), F.lit("]"))).when(kind == 1, F.concat(F.lit("["), entry("ANSI", "p_type"), F.lit("]")))
+    j = j.when(kind == 2, F.concat(F.lit("["), entry("MYSQL", "p_name"), F.lit(","), entry("ANSI", "p_type"), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.col("p_name")))
+    d = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.from_json(j, "array<struct<dialect:string,expression:string>>").alias("a"))
     trino = F.filter("a", lambda x: F.upper(x["dialect"]) == "TRINO")
     pick = F.coalesce(F.get(trino, F.lit(0))["expression"], F.get("a", F.lit(0))["expression"], F.lit(""))
     return d.select("id", pick.alias("expression"))
@@ -257,10 +257,12 @@ def merge_spans(spark, sf_dir):
     return metrics.merge_spans(s)
 
 
-@query("metric_match", "SELECT * FROM (VALUES (1, 'total_revenue', 1, 1), (2, 'order_count', 0, 2)) t(qid, metric, by_name, hits)")
+@query("metric_match", """WITH q AS (SELECT conv_id * 1000 + turn AS qid, lower(text) AS t FROM conversations WHERE text IS NOT NULL),
+    m(metric, namespace, label, is_name) AS (VALUES ('greeting', '', 'the', true), ('greeting', 'sales', 'and the', false), ('hidden', 'other', 'the', true), ('two_words', 'SALES', 'that_the', false))
+    SELECT qid, metric, max(is_name::INT) AS by_name, count(*)::INT AS hits FROM q JOIN m ON regexp_matches(t, '(^|\\W)' || replace(label, '_', '[_ ]') || '(\\W|$)') WHERE namespace IN ('', 'sales', 'SALES') GROUP BY 1, 2""")
 def metric_match(spark, sf_dir):
-    q = spark.createDataFrame([(1, "What is total revenue by region?"), (2, "number of orders, or orders placed"), (3, "totally unrelated")], "qid int, question string")
-    m = [("total_revenue", "", "total_revenue", True), ("order_count", "SALES", "number of orders", False), ("order_count", "sales", "orders placed", False), ("hidden", "other", "orders placed", False)]
+    q = read(spark, sf_dir, "conversations").filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    m = [("greeting", "", "the", True), ("greeting", "sales", "and the", False), ("hidden", "other", "the", True), ("two_words", "SALES", "that_the", False)]
     return metrics.match_metrics(q, spark.createDataFrame(m, "metric string, namespace string, label string, is_name boolean"), "sales").withColumn("hits", F.col("hits").cast("int"))
 
 
@@ -297,15 +299,20 @@ def glob_filter(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names_], "table_name string").filter(catalog.matches(F.col("table_name"), "n*|part,[l,o]*", "labels"))
 
 
-@query("schema_fingerprint", "SELECT 'region' AS table_name, substring(sha256('r_name:string,r_regionkey:int'), 1, 16) AS fingerprint")
+_PRINT_SQL = f"""(SELECT table_name, substring(sha256(string_agg(pair, ',' ORDER BY pair)), 1, 16) AS fingerprint FROM (SELECT table_name, lower(column_name) || ':' || CASE data_type WHEN 'BIGINT' THEN 'int' WHEN 'INTEGER' THEN 'int'
+    WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'DATE' THEN 'date' WHEN 'VARCHAR' THEN 'string' ELSE 'array<float>' END AS pair FROM information_schema.columns WHERE {_TABLES_SQL}) c GROUP BY 1)"""
+
+
+@query("schema_fingerprint", f"SELECT table_name, fingerprint FROM {_PRINT_SQL} f")
 def schema_fingerprint(spark, sf_dir):
-    return catalog.fingerprints(catalog.discover_columns(spark, sf_dir, ("region",)))
+    return catalog.fingerprints(catalog.discover_columns(spark, sf_dir))
 
 
-@query("rescan_diff", "SELECT * FROM (VALUES ('region', 'unchanged'), ('nation', 'revise'), ('part', 'insert')) t(table_name, action)")
+@query("rescan_diff", f"""SELECT table_name, CASE WHEN table_name LIKE 'p%' THEN 'insert' WHEN old.n <> 0 AND table_name LIKE '%e%' THEN 'revise' ELSE 'unchanged' END AS action FROM {_PRINT_SQL} f, (SELECT count(*) AS n FROM region) old""")
 def rescan_diff(spark, sf_dir):
-    now = catalog.fingerprints(catalog.discover_columns(spark, sf_dir, ("region", "nation", "part")))
-    known = now.filter("table_name <> 'part'").withColumn("fingerprint", F.when(F.col("table_name") == "nation", "old").otherwise(F.col("fingerprint")))
+    """Tables that weren't there, that have another fingerprint than before, and the rest."""
+    now = catalog.fingerprints(catalog.discover_columns(spark, sf_dir))
+    known = now.filter("table_name not like 'p%'").withColumn("fingerprint", F.when(F.col("table_name").contains("e"), F.reverse("fingerprint")).otherwise(F.col("fingerprint")))
     return catalog.rescan(known, now)
 
 

@@ -170,10 +170,10 @@ def unpivot_triples(spark, sf_dir):
     return n.select(F.concat(F.lit("nation/"), "n_nationkey").alias("s"), pairs.alias("x")).select("s", "x.p", "x.o")
 
 
-@query("contains_any", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a1') OR contains(lower(p_name), '99') ORDER BY p_partkey LIMIT 50")
+@query("contains_any", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_name), 'hot') ORDER BY p_partkey LIMIT 50")
 def contains_any(spark, sf_dir):
     name = F.lower("p_name")
-    return Engine(spark, sf_dir, ("part",)).table("part").filter(name.contains("a1") | name.contains("99")).select("p_partkey", "p_name").orderBy("p_partkey").limit(50)
+    return Engine(spark, sf_dir, ("part",)).table("part").filter(name.contains("ring") | name.contains("hot")).select("p_partkey", "p_name").orderBy("p_partkey").limit(50)
 
 
 @query("graph_scope", f"SELECT src, rel, dst FROM {_EDGES} e WHERE starts_with(src, 'nation/') AND dst <> 'region/1'")

@@ -26,7 +26,7 @@ BOTH: dict[str, str] = {
     "composite_join": "SELECT a.l_orderkey AS orderkey, a.l_linenumber AS linenumber, b.l_quantity AS quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_returnflag = 'R' AND a.l_quantity > 49",
     "self_join": "SELECT a.s_suppkey AS first_key, b.s_suppkey AS second_key FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
     "semi_join": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 1000)",
-    "anti_join": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "anti_join": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P' AND o.o_totalprice > 100000)",
     "optional_left": "SELECT c.c_custkey, COALESCE(o.o_orderkey, -1) AS o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'",
     "between_join": f"SELECT c.c_mktsegment AS segment, {_money('o.o_totalprice')} AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE CAST(o.o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND CURRENT_DATE GROUP BY c.c_mktsegment",
     # aggregates
@@ -55,7 +55,7 @@ BOTH: dict[str, str] = {
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000",
     "multi_key_order": "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus ORDER BY n DESC, o_orderpriority, o_orderstatus",
     "entity_page": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey LIMIT 25 OFFSET 50",
     "metric_page": "SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 10 GROUP BY p_brand ORDER BY p_brand LIMIT 10 OFFSET 5",
