@@ -1,11 +1,19 @@
-"""Exact BM25 top-k search over a sharded inverted index with block-max pruning.
+"""Exact BM25 top-k search over a sharded inverted index by block-max WAND.
 
-Index: each shard holds a bounded number of documents, ordered so that like ones are neighbours, and for each
-word its postings (document, frequency) in blocks of 64 documents. Search: a block's bound for a query is the
-sum over the query's words of the weight times the largest impact in the block. Blocks are scored in
-descending order of their bounds, and those whose bound is below the k-th best score so far are skipped; that
-threshold is carried from shard to shard of a task. Weights come from statistics of the whole corpus, so the
-tasks' best lists merge exactly.
+Index: each shard holds a bounded number of documents, ordered so that like ones are neighbours, its words, and for
+each word its postings (document, frequency) in blocks of 64 documents.
+
+Search: every word of a query has a cursor in its list of blocks. The cursors are sorted by the block they stand at,
+and the lists' largest impacts, times the words' weights, are added up in that order; where the sum first reaches the
+threshold (the k-th best score so far) is the pivot, and no document before it can be among the best: all cursors
+seek it. Of the STRETCH blocks from the pivot on, those are scored whose words' block maxima reach the threshold, the
+others are skipped, and the cursors move on. Postings of skipped blocks aren't read; a shard whose lists can't
+reach the threshold isn't entered. Words that are in every block anyway have no cursor: a matrix holds their impacts,
+their share of the scores is a product with it for many queries at once, and counts in full in the bounds.
+
+The threshold starts from a lower bound: for each query the most promising blocks of a few shards are scored first,
+and the k-th best of these documents' scores is what the search of every shard begins with. Weights come from
+statistics of the whole corpus, so the shards' best lists merge exactly. Words are compared by their bytes.
 
 Words are runs of letters, ASCII capitals made small. Null and wordless texts are found by no query and, as
 queries, find nothing. Ties go to the smaller document id. Repeated rows are documents and queries of their
@@ -16,7 +24,9 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,218 +34,342 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .text import letters_map, steps, words
+from .text import letters_map, mix, ranges
 
 K1, B = 1.2, 0.75
-#: Documents and text bytes of a shard; documents of a block (a power of two); queries searched at once.
-SHARD_DOCS, SHARD_BYTES, BLOCK_BITS, QUERIES = 4096, 16 << 20, 6, 4096
-_DOC_BITS = 13
-_LETTERS = letters_map()
+#: Documents and text bytes of a shard; documents of a block (a power of two) and blocks of a stretch.
+SHARD_DOCS, SHARD_BYTES, BLOCK_BITS, STRETCH = 4096, 16 << 20, 6, 64
+#: A word in one of so many documents of a shard, or more, is a row of its matrix; queries whose products are made at once.
+DENSE, AT_ONCE = 16, 64
+#: Queries, and bytes of their words, that are searched at once; shards and blocks that give the first threshold.
+QUERIES, QUERY_BYTES, TRIED_SHARDS, TRIED_BLOCKS = 4096, 32 << 20, 4, 8
+_TABLE = letters_map().tobytes()
 _NULL = np.iinfo(np.int64).min
-_COLUMNS = ["docs", "lengths", "terms", "starts", "posting_doc", "posting_tf"]
-
-
-def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and term of every word, and words of each row; a term is a hash with its low bits free for a row."""
-    row, term, length = [], [], []
-    for i, j, data, edges in steps(column):
-        h, _, _, upto = words(data, edges, _LETTERS)
-        row.append(np.repeat(np.arange(i, j), np.diff(upto)))
-        term.append(h >> np.uint64(_DOC_BITS) << np.uint64(_DOC_BITS))
-        length.append(np.diff(upto))
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(row, np.int64), join(term, np.uint64), join(length, np.int64)
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common.tenant("topk_search")
-    low = np.uint64((1 << _DOC_BITS) - 1)
-
-    def shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        ids = t.column(0).fill_null(int(_NULL)).to_numpy().astype(np.int64)
-        row, term, length = _terms(t.column(1).combine_chunks())
-        key, tf = np.unique(term | row.astype(np.uint64), return_counts=True)
-        doc = (key & low).astype(np.int64)
-        # neighbours are documents with the same most frequent word (often: the same language), by length
-        kind = np.zeros(len(ids), np.uint64)
-        np.maximum.at(kind, doc, (np.minimum(tf, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20)))
-        order = np.lexsort((length, kind & np.uint64((1 << 44) - 1)))
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        key = (key & ~low) | place[doc].astype(np.uint64)
-        by = np.argsort(key)
-        key, tf = key[by], tf[by]
-        term = key & ~low
-        starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(key) else np.zeros(0, np.int64)
-        values = [ids[order], length[order].astype(np.int32), term[starts], np.r_[starts, len(key)].astype(np.int32), (key & low).astype(np.uint16), tf.astype(np.uint32)]
-        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values] + [pa.array([len(ids)], pa.int64()), pa.array([int(length.sum())], pa.int64())], [*_COLUMNS, "n", "words"])
-
-    parts, n, size = [], 0, 0
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            parts.append(part)
-            n += part.num_rows
-            size += part.column(1).nbytes
-            if n + 256 > SHARD_DOCS or size >= SHARD_BYTES:
-                yield shard(parts)
-                parts, n, size = [], 0, 0
-    if parts:
-        yield shard(parts)
-
-
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a shard, written to the shared folder."""
+_COLUMNS = ["docs", "lengths", "words", "starts", "posting_doc", "posting_tf"]
+#: Bounds are raised by this share, more than what adding up in another order can change.
+_SLACK = 1 + 1e-9
+
+
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_TABLE).split()
+
+
+def _shard(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    place_of: defaultdict[bytes, int] = defaultdict()
+    place_of.default_factory = place_of.__len__
+    docs, terms = [], []
+    for b in parts:
+        docs.append(b.column(0).fill_null(int(_NULL)).to_numpy(zero_copy_only=False).astype(np.int64))
+        for text in b.column(1).to_pylist():
+            own = split(text)
+            terms.append(np.fromiter(map(place_of.__getitem__, own), np.int32, len(own)))
+    ids, n = np.concatenate(docs), len(terms)
+    length = np.array([len(t) for t in terms])
+    key = np.concatenate(terms).astype(np.int64) * n + np.repeat(np.arange(n), length)
+    key, tf = np.unique(key, return_counts=True)
+    term, doc = key // n, key % n
+    # neighbours are documents with the same most frequent word (often: the same language), by length
+    kind = np.zeros(n, np.int64)
+    np.maximum.at(kind, doc, np.minimum(tf, (1 << 30) - 1) << 32 | term)
+    order = np.lexsort((length, kind & 0xFFFFFFFF))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    by = np.argsort(term * n + place[doc])
+    starts = np.searchsorted(term, np.arange(len(place_of) + 1))
+    values = [ids[order], length[order].astype(np.int32), None, starts.astype(np.int32), place[doc][by].astype(np.uint16), tf[by].astype(np.uint32)]
+    cells = [b" ".join(place_of) if v is None else v.tobytes() for v in values]
+    return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells] + [pa.array([n], pa.int64()), pa.array([int(length.sum())], pa.int64())], [*_COLUMNS, "n", "total"])
+
+
+def _build(shard_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("topk_search")
+        parts, n, size = [], 0, 0
+        step = min(256, shard_docs)
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                parts.append(part)
+                n += part.num_rows
+                size += part.column(1).nbytes
+                if n + step > shard_docs or size >= SHARD_BYTES:
+                    yield _shard(parts)
+                    parts, n, size = [], 0, 0
+        if parts:
+            yield _shard(parts)
+
+    return run
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """One row a shard of at most shard_docs (65536 or fewer) documents, written to the shared folder."""
     common.ready(docs.sparkSession)
     types = ", ".join(f"{c} binary" for c in _COLUMNS)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return common.written(rows.mapInArrow(_build, f"{types}, n long, words long"), "index")
-
-
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """start[0]..end[0]-1, start[1]..end[1]-1, and so on."""
-    n = end - start
-    total = np.cumsum(n)
-    return np.arange(total[-1] if len(n) else 0) + np.repeat(start - (total - n), n)
+    out = rows.mapInArrow(_build(shard_docs), f"{types}, n long, total long")
+    return common.written(out.withColumn("shard", F.monotonically_increasing_id()), "index")
 
 
 class Shard:
-    """A shard in memory: impacts of postings, and for each word the blocks it is in with their largest impact."""
+    """A shard in memory: impacts of postings, and for each word the blocks it is in with their largest impact.
+
+    Words in one of DENSE documents or more are in every block, so no cursor could skip anything in their lists: these
+    are rows of a matrix, and the part of the scores that is theirs is a product with it, for many queries at once.
+    """
 
     def __init__(self, row: dict, mean: float):
         read = lambda c, t: np.frombuffer(row[c], t)
-        self.docs, lengths, self.terms = read("docs", np.int64), read("lengths", np.int32), read("terms", np.uint64)
+        self.place_of = {w: i for i, w in enumerate(row["words"].split(b" "))} if row["words"] else {}
+        self.docs, lengths = read("docs", np.int64), read("lengths", np.int32)
         starts, self.doc, tf = read("starts", np.int32).astype(np.int64), read("posting_doc", np.uint16).astype(np.int64), read("posting_tf", np.uint32)
         room = K1 * (1 - B + B * lengths / mean)
         self.impact = tf * (K1 + 1) / (tf + room[self.doc])
-        block = self.doc >> BLOCK_BITS
-        new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
-        new[starts[:-1]] = True
-        first = np.flatnonzero(new)
-        self.run = np.r_[first, len(self.doc)]  # postings of each (word, block)
-        self.run_block = block[first]
-        self.run_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.run_of = np.searchsorted(first, starts)  # runs of each word
-        self.blocks = -(-len(self.docs) // (1 << BLOCK_BITS))
-
-    def search(self, at: np.ndarray, weight: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Merges this shard's documents into best = (scores, ids); at: the places of the query's words."""
-        a, e = self.run_of[at], self.run_of[at + 1]
-        runs, w = _ranges(a, e), np.repeat(weight, e - a)
-        bound = np.bincount(self.run_block[runs], w * self.run_max[runs], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        done, step = 0, 2
-        while done < len(order):
-            least = best[0][-1] if len(best[0]) == k else 0.0
-            part = order[done : done + step]
-            part = part[bound[part] >= least]
-            if not len(part):
-                break
-            done, step = done + step, 4 * step
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            keep = chosen[self.run_block[runs]]
-            r, rw = runs[keep], w[keep]
-            s, t = self.run[r], self.run[r + 1]
-            post = _ranges(s, t)
-            score = np.bincount(self.doc[post], np.repeat(rw, t - s) * self.impact[post], len(self.docs))
-            hit = np.flatnonzero((score >= least) & (score > 0))
-            if len(hit) > 4 * k:
-                cut = np.partition(score[hit], len(hit) - k)[len(hit) - k]
-                hit = hit[score[hit] >= cut]
-            scores, ids = np.r_[best[0], score[hit]], np.r_[best[1], self.docs[hit]]
-            top = np.lexsort((ids, -scores))[:k]
-            best = scores[top], ids[top]
+        n, docs = len(self.place_of), len(self.docs)
+        self.blocks = -(-docs // (1 << BLOCK_BITS))
+        place = np.repeat(np.arange(n), np.diff(starts))
+        at = place * self.blocks + (self.doc >> BLOCK_BITS)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        self.entry = at[first]  # (word, block), ascending
+        self.entry_block = np.r_[self.entry % max(1, self.blocks), self.blocks]
+        self.entry_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.entry_post = np.r_[first, len(at)]  # the entry's first posting
+        self.entry_of = np.searchsorted(self.entry, np.arange(n + 1) * self.blocks)  # the word's first entry
+        self.list_max = np.maximum.reduceat(self.entry_max, self.entry_of[:-1]) if n else np.zeros(0)
+        many = np.flatnonzero(np.diff(starts) * DENSE >= docs)
+        self.row_of = np.full(n, -1)
+        self.row_of[many] = np.arange(len(many))
+        self.dense = np.zeros((len(many), self.blocks << BLOCK_BITS))
+        held = self.row_of[place] >= 0
+        self.dense[self.row_of[place[held]], self.doc[held]] = self.impact[held]
+        self.scored = 0
+
+    def query(self, at: np.ndarray, weight: np.ndarray) -> Query | None:
+        """The query whose words stand at these places (-1: not in this shard), in an order that is the same for all shards."""
+        row = np.where(at >= 0, self.row_of[at], -1)
+        many, few = np.flatnonzero(row >= 0), np.flatnonzero((at >= 0) & (row < 0))
+        return Query(weight, many, row[many], few, at[few]) if len(many) or len(few) else None
+
+    def product(self, queries: list[Query]) -> np.ndarray:
+        """What the words of the matrix give to every document, a line for each query."""
+        weights = np.zeros((len(queries), len(self.dense)))
+        for line, q in zip(weights, queries, strict=True):
+            line[q.rows] = q.weight[q.many]
+        return weights @ self.dense
+
+    def _score(self, q: Query, base: np.ndarray, entries: np.ndarray, word: np.ndarray, good: np.ndarray, offset: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best, and their equals, that reach `least` in the good blocks from document `offset` on.
+
+        entries: those of the words with cursors, word by word. Scores are added up word by word in the query's order, so
+        that equal documents have equal scores in all shards.
+        """
+        first = offset
+        score = np.where(np.repeat(good, 1 << BLOCK_BITS), base[first : first + (len(good) << BLOCK_BITS)], 0.0)
+        doc, of, impact = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(entries):
+            # entries that follow each other are one stretch of postings
+            new = np.flatnonzero(np.r_[True, (entries[1:] != entries[:-1] + 1) | (word[1:] != word[:-1])])
+            start, end = self.entry_post[entries[new]], self.entry_post[entries[np.r_[new[1:], len(entries)] - 1] + 1]
+            p = ranges(start, end)
+            doc, of, impact = self.doc[p] - first, np.repeat(word[new], end - start), self.impact[p]
+            self.scored += len(p)
+            score += np.bincount(doc, q.weight[of] * impact, len(score))
+        hit = np.flatnonzero((score * _SLACK >= least) & (score > 0))
+        if len(hit) > k:
+            own = score[hit]
+            hit = hit[own * _SLACK >= np.partition(own, len(own) - k)[len(own) - k]]
+        if not len(hit):
+            return hit, np.zeros(0)
+        parts = np.zeros((len(q.weight), len(hit)))
+        parts[q.many] = self.dense[np.ix_(q.rows, first + hit)]
+        column = np.full(len(score), -1)
+        column[hit] = np.arange(len(hit))
+        at = column[doc]
+        some = at >= 0
+        parts[of[some], at[some]] = impact[some]
+        exact = (parts * q.weight[:, None]).cumsum(axis=0)[-1]
+        ok = (exact >= least) & (exact > 0)
+        return first + hit[ok], exact[ok]
+
+    def glance(self, q: Query, base: np.ndarray, k: int) -> np.ndarray:
+        """The k best scores in the TRIED_BLOCKS blocks with the largest bounds."""
+        a, e = self.entry_of[q.places], self.entry_of[q.places + 1]
+        entries, word = ranges(a, e), np.repeat(q.few, e - a)
+        bound = base.reshape(self.blocks, -1).max(axis=1) + np.bincount(self.entry_block[entries], q.weight[word] * self.entry_max[entries], self.blocks)
+        tried = np.zeros(self.blocks, bool)
+        tried[np.argsort(-bound)[:TRIED_BLOCKS]] = True
+        keep = tried[self.entry_block[entries]]
+        return np.sort(self._score(q, base, entries[keep], word[keep], tried, 0, k, 0.0)[1])[::-1][:k]
+
+    def search(self, q: Query, base: np.ndarray, k: int, least: float, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Merges this shard's documents with scores of `least` or more into best = (scores, ids)."""
+        if len(best[0]) == k:
+            least = max(least, best[0][-1])
+        room = base.reshape(self.blocks, -1).max(axis=1) * _SLACK  # the most that the matrix gives in each block
+        rest = np.maximum.accumulate(room[::-1])[::-1]  # and from it on
+        top = q.weight[q.few] * self.list_max[q.places] * _SLACK
+        if rest[0] + top.sum() < least:
+            return best
+        first, end = q.places * self.blocks, self.entry_of[q.places + 1]
+        cursor = self.entry_of[q.places]
+        block = self.entry_block[cursor]
+        done = 0
+        while done < self.blocks:
+            # the pivot: the first block whose lists so far, and the matrix from here on, can reach the threshold
+            pivot = done
+            if rest[done] < least:
+                order = block.argsort(kind="stable")
+                i = int(np.searchsorted(top[order].cumsum(), least - rest[done]))
+                if i == len(order) or (pivot := max(done, int(block[order[i]]))) >= self.blocks:
+                    return best
+            till = min(pivot + STRETCH, self.blocks)
+            if pivot > done:
+                cursor = np.maximum(cursor, np.searchsorted(self.entry, first + pivot))
+            after = np.searchsorted(self.entry, first + till) if till < self.blocks else end
+            entries, word = ranges(cursor, np.maximum(cursor, after)), np.repeat(q.few, np.maximum(0, after - cursor))
+            at = self.entry_block[entries] - pivot
+            good = room[pivot:till] + np.bincount(at, q.weight[word] * self.entry_max[entries], till - pivot) * _SLACK >= least
+            if good.any():
+                keep = good[at]
+                found, score = self._score(q, base, entries[keep], word[keep], good, pivot << BLOCK_BITS, k, least)
+                scores, ids = np.r_[best[0], score], np.r_[best[1], self.docs[found]]
+                order = np.lexsort((ids, -scores))[:k]
+                best = scores[order], ids[order]
+                if len(order) == k:
+                    least = max(least, best[0][-1])
+            cursor, done = after, till
+            block = np.where(cursor < end, self.entry_block[cursor], self.blocks)
         return best
 
 
+@dataclass(frozen=True)
+class Query:
+    """A query in a shard: its words' weights; which are rows of the matrix, and which have cursors, at what places."""
+
+    weight: np.ndarray
+    many: np.ndarray
+    rows: np.ndarray
+    few: np.ndarray
+    places: np.ndarray
+
+
+def _many(shard: Shard, names_at: np.ndarray, queries: list) -> Iterator[tuple[int, Query, np.ndarray]]:
+    """(number, query, product) of the numbered queries that have a word in the shard, AT_ONCE products at a time."""
+    for first in range(0, len(queries), AT_ONCE):
+        part = [(number, shard.query(names_at[places], weight)) for number, places, weight in queries[first : first + AT_ONCE]]
+        part = [x for x in part if x[1] is not None]
+        yield from ((number, q, base) for (number, q), base in zip(part, shard.product([q for _, q in part]), strict=True))
+
+
+def _shards(batches: Iterator[pa.RecordBatch], mean: float, names: list[bytes]) -> Iterator[tuple[int, Shard, np.ndarray]]:
+    """Number, shard, and the place of each name in it (-1: none)."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
+            shard = Shard(row, mean)
+            if shard.place_of:
+                yield row["shard"], shard, np.array([shard.place_of.get(w, -1) for w in names], np.int64)
+
+
 def _frequencies(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value
         total = np.zeros(len(names), np.int64)
         for b in batches:
             for row in b.to_pylist():
-                have, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32)
-                at = np.searchsorted(have, names)
-                at[at == len(have)] = 0
-                found = have[at] == names if len(have) else np.zeros(len(names), bool)
-                total[found] += (starts[at[found] + 1] - starts[at[found]]).astype(np.int64)
+                df = dict(zip(row["words"].split(b" "), np.diff(np.frombuffer(row["starts"], np.int32)).tolist(), strict=False))
+                total += np.fromiter((df.get(w, 0) for w in names), np.int64, len(names))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "df"])
 
     return run
 
 
+def _first_scores(sent, mean: float, k: int, shards: int):
+    """Scores from the most promising blocks of about TRIED_SHARDS shards for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.tenant("topk_search")
+        names, queries = sent.value
+        share = np.uint64(min(1.0, TRIED_SHARDS / shards) * (2**64 - 2**12))
+        for number, shard, names_at in _shards(batches, mean, names):
+            chosen = np.flatnonzero(mix(np.arange(len(queries), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)) <= share)
+            q, score = [np.zeros(0, np.int32)], [np.zeros(0)]
+            for i, query, base in _many(shard, names_at, [(i, *queries[i]) for i in chosen.tolist()]):
+                score.append(shard.glance(query, base, k))
+                q.append(np.full(len(score[-1]), i, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(score))], ["q", "score"])
+
+    return run
+
+
 def _search(sent, mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.tenant("topk_search")
-        names, queries = sent.value  # distinct words; (id, places in names, weights)
+        names, queries, least = sent.value
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
-        for b in batches:
-            for i in range(b.num_rows):
-                shard = Shard(b.slice(i, 1).to_pylist()[0], mean)
-                if not len(shard.terms):
-                    continue
-                at = np.searchsorted(shard.terms, names)
-                at[at == len(shard.terms)] = 0
-                found = shard.terms[at] == names
-                for q, (_, places, weight) in enumerate(queries):
-                    here = found[places]
-                    if here.any():
-                        best[q] = shard.search(at[places[here]], weight[here], k, best[q])
-        ids = [np.full(len(s), q[0]) for q, (s, _) in zip(queries, best, strict=True)]
-        if ids:
-            found_ids = np.concatenate([d for _, d in best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(found_ids, mask=found_ids == _NULL), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "doc_id", "score"])
+        numbered = [(q, *x) for q, x in enumerate(queries)]
+        for _, shard, names_at in _shards(batches, mean, names):
+            for q, query, base in _many(shard, names_at, numbered):
+                best[q] = shard.search(query, base, k, least[q], best[q])
+        if queries:
+            q = np.repeat(np.arange(len(queries), dtype=np.int32), [len(s) for s, _ in best])
+            found = np.concatenate([d for _, d in best])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(found, mask=found == _NULL), pa.array(np.concatenate([s for s, _ in best]))], ["q", "doc_id", "score"])
 
     return run
 
 
 def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        row, term, _ = _terms(b.column(1))
-        cut = np.searchsorted(row, np.arange(b.num_rows + 1))
-        out = []
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            t, n = np.unique(term[s:e], return_counts=True)
-            out.append((t.tobytes(), n.astype(np.uint32).tobytes()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["query_id", "terms", "tf"])
+        bags = [sorted(Counter(split(t)).items()) for t in b.column(1).to_pylist()]
+        words = [b" ".join(w for w, _ in bag) for bag in bags]
+        tf = [np.array([n for _, n in bag], np.uint32).tobytes() for bag in bags]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array(tf, pa.binary())], ["query_id", "words", "tf"])
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", at_once: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), doc_id, score of the k best documents of every query.
 
-    Queries are searched in blocks of about `at_once`, each block sent to every task; a block's words, not the
-    corpus's, are what the driver holds.
+    Queries are searched in blocks of about `at_once` and QUERY_BYTES bytes of words, each block sent to every task; a
+    block's words, not the corpus's, are what the driver holds. Queries with equal words are searched once.
     """
     spark = index.sparkSession
     common.ready(spark)
-    n, total = index.agg(F.sum("n"), F.sum("words")).first()
+    n, total, shards = index.agg(F.sum("n"), F.sum("total"), F.count("*")).first()
     mean = max(1e-9, (total or 0) / max(1, n or 0))
     rows = queries.select(F.col(key).cast("long").alias("query_id"), F.col(text).alias("text")).filter("query_id is not null").distinct()
-    rows = common.written(rows.mapInArrow(_query_rows, "query_id long, terms binary, tf binary"), "queries")
-    blocks = max(1, math.ceil(rows.count() / at_once))
+    rows = common.written(rows.mapInArrow(_query_rows, "query_id long, words binary, tf binary").withColumn("bag", F.sha2(F.concat("words", F.lit(b"\n"), "tf"), 256)), "queries")
+    asked = common.written(rows.filter("octet_length(words) > 0").groupBy("bag").agg(F.first("words").alias("words"), F.first("tf").alias("tf")), "bags")
+    count, size = asked.agg(F.count("*"), F.sum(F.octet_length("words"))).first()
+    blocks = max(1, math.ceil(count / at_once), math.ceil((size or 0) / QUERY_BYTES))
     found = []
     for block in range(blocks):
-        got = rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id", "terms").collect()
-        terms = [np.frombuffer(bytes(r["terms"]), np.uint64) for r in got]
-        names = np.unique(np.concatenate([*terms, np.zeros(0, np.uint64)]))
-        sent = spark.sparkContext.broadcast(names)
+        got = asked.filter(F.pmod(F.xxhash64("bag"), F.lit(blocks)) == block).orderBy("bag").collect()
+        if not got:
+            continue
+        bags = [bytes(r["words"]).split(b" ") for r in got]
+        names = sorted(set().union(*bags))
+        place = {w: i for i, w in enumerate(names)}
         df = np.zeros(len(names), np.int64)
-        for r in index.select("terms", "starts").mapInArrow(_frequencies(sent), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect() if len(names) else []:
+        for r in index.select("words", "starts").mapInArrow(_frequencies(spark.sparkContext.broadcast(names)), "place int, df long").groupBy("place").agg(F.sum("df").alias("df")).collect():
             df[r["place"]] = r["df"]
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if len(names) else np.zeros(0)
-        asked = []
-        for r, t in zip(got, terms, strict=True):
-            places = np.searchsorted(names, t)
-            asked.append((r["query_id"], places, np.frombuffer(bytes(r["tf"]), np.uint32) * idf[places]))
-        sent = spark.sparkContext.broadcast((names, asked))
-        best = index.mapInArrow(_search(sent, mean, k), "query_id long, doc_id long, score double")
-        found.append(best)
+        idf = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5))
+        terms = []
+        for r, bag in zip(got, bags, strict=True):
+            places = np.array([place[w] for w in bag])
+            terms.append((places, np.frombuffer(bytes(r["tf"]), np.uint32) * idf[places]))
+        first = index.mapInArrow(_first_scores(spark.sparkContext.broadcast((names, terms)), mean, k, shards), "q int, score double")
+        least = np.zeros(len(terms))
+        for r in first.groupBy("q").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best")).filter(F.size("best") >= k).select("q", F.col("best")[k - 1].alias("least")).collect():
+            least[r["q"]] = r["least"] / _SLACK
+        best = index.mapInArrow(_search(spark.sparkContext.broadcast((names, terms, least)), mean, k), "q int, doc_id long, score double")
+        known = spark.createDataFrame([(q, r["bag"]) for q, r in enumerate(got)], "q int, bag string")  # as many as queries are sent at once
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
+        best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found.append(best.join(F.broadcast(known), "q").select("bag", F.col("rank").cast("long").alias("rank"), "doc_id", "score"))
+    if not found:
+        return rows.select("query_id", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return rows.select("query_id", "bag").join(out, "bag").select("query_id", "rank", "doc_id", "score")
