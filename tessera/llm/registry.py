@@ -33,7 +33,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search(build_index(docs), docs.filter("doc_id % 100 = 0"))
+    return search(build_index(docs), docs.filter("doc_id % 100 = 0")).withColumn("score", F.round("score", 6))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,37 @@ def oracle_sql() -> dict[str, str]:
             SELECT conv_id, len(roles)::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,
                    length(formatted)::BIGINT AS formatted_chars, CASE state WHEN 'answered' THEN 'complete' WHEN 'invalid' THEN 'invalid' ELSE 'open' END AS state, first_bad
             FROM w""",
+        "op3_topk_search": r"""
+            WITH w AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+            tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM w) GROUP BY r, term),
+            n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+            idf AS (SELECT term, ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term),
+            q AS (SELECT min(r) AS r, doc_id AS query_id FROM w WHERE doc_id % 100 = 0 GROUP BY doc_id, text),
+            s AS (SELECT query_id, q.r AS qr, d.r, sum(a.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len(w.ws) / mean))) AS score
+                  FROM q JOIN tf a ON a.r = q.r JOIN idf USING (term) JOIN tf d USING (term) JOIN w ON w.r = d.r, n GROUP BY 1, 2, 3)
+            SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
+                SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id, qr ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s JOIN w USING (r)) WHERE rank <= 10""",
+        "op5_substring_dedup": r"""
+            WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            p AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS spot FROM w WHERE len(ws) >= 35),
+            k AS (SELECT r, spot, array_to_string(ws[spot:spot + 34], ' ') AS run FROM p),
+            twice AS (SELECT r, spot FROM k QUALIFY count(*) OVER (PARTITION BY run) > 1),
+            gone AS (SELECT r, list(DISTINCT spot + o) AS words FROM twice, range(0, 35) t(o) GROUP BY r)
+            SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(words), 0)::BIGINT AS n_removed,
+                   sha256(array_to_string(CASE WHEN words IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(words, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+            FROM w LEFT JOIN gone USING (r)""",
+        "op7_jaccard_join": r"""
+            WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+            s AS (SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS grams FROM w),
+            g AS (SELECT min(r) AS g, grams, count(*) AS copies, min(doc_id) AS least FROM s WHERE len(grams) > 0 GROUP BY grams),
+            t AS (SELECT g, len(grams) AS n, unnest(grams) AS gram FROM g),
+            both_ AS (SELECT a.g AS a, b.g AS b, count(*) AS c, max(a.n) AS na, max(b.n) AS nb FROM t a JOIN t b ON a.gram = b.gram AND a.g <> b.g AND a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4 GROUP BY 1, 2),
+            link AS (SELECT a, b FROM both_ WHERE c * 5 >= 4 * (na + nb - c)),
+            walk AS (SELECT g AS a, g AS b FROM g UNION SELECT walk.a, link.b FROM walk JOIN link ON link.a = walk.b),
+            class AS (SELECT a AS g, min(least) AS class_id FROM walk JOIN g ON g.g = walk.b GROUP BY a),
+            near AS (SELECT a AS g, sum(copies) AS n FROM link JOIN g ON g.g = link.b GROUP BY a)
+            SELECT doc_id, CASE WHEN copies > 1 OR near.n IS NOT NULL THEN class_id ELSE doc_id END AS class_id, (coalesce(near.n, 0) + coalesce(copies, 1) - 1)::BIGINT AS n_links, coalesce(copies, 1) AS copies
+            FROM s LEFT JOIN g ON g.grams = s.grams AND len(s.grams) > 0 LEFT JOIN class ON class.g = g.g LEFT JOIN near ON near.g = g.g""",
         "op8_exact_dedup": f"""
             SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                    row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
