@@ -45,8 +45,14 @@ def iri_segment(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+#: More labels than this are no lookup table: each is compared with every question.
+MOST_LABELS = 10_000
+
+
 def fuzzy_matches(questions: DataFrame, labels: DataFrame, least: float = 0.88) -> DataFrame:
-    """(qid, metric, score) of the labels(metric, label), a small table, that a question nearly says."""
+    """(qid, metric, score) of the labels(metric, label), MOST_LABELS at most, that a question nearly says."""
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     pairs = questions.join(F.broadcast(labels), F.length("label") <= F.length("question") * 2)
     return pairs.withColumn("score", best_window_ratio("question", "label")).filter(F.col("score") >= least).groupBy("qid", "metric").agg(F.max("score").alias("score"))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # SQL type names and their XSD names.
 XSD = {
@@ -167,3 +168,30 @@ def score_band(score: Column) -> Column:
 def fused_score(lexical: Column, structural: Column, weight: float) -> Column:
     """A missing structural score counts as zero, not as absent."""
     return (1 - weight) * lexical + weight * F.coalesce(structural, F.lit(0.0))
+
+
+def iri_key(c: Column) -> Column:
+    """What an IRI segment is looked up by: the segment, ignoring case."""
+    return F.lower(iri_segment(c))
+
+
+def _rebuilt(kind: T.DataType, c: Column, leaf) -> Column:
+    """A value with leaf(kind, column) in the place of each of its scalars."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_rebuilt(f.dataType, c[f.name], leaf).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _rebuilt(kind.elementType, x, leaf))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _rebuilt(kind.valueType, v, leaf))
+    return leaf(kind, c)
+
+
+def json_safe(kind: T.DataType, c: Column) -> Column:
+    """A value as JSON text; decimals, dates and timestamps in it are texts, so nothing is rounded."""
+    return F.to_json(_rebuilt(kind, c, lambda k, x: x.cast("string") if isinstance(k, T.DecimalType | T.DateType | T.TimestampType | T.TimestampNTZType) else x))
+
+
+def without_floats(df: DataFrame, decimal: str) -> DataFrame:
+    """df with every float and double, nested ones too, as a decimal."""
+    leaf = lambda k, x: x.cast(decimal) if isinstance(k, T.FloatType | T.DoubleType) else x
+    return df.select(*[_rebuilt(f.dataType, F.col(f.name), leaf).alias(f.name) for f in df.schema.fields])

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import shared_folder
+
 #: Deepest closure that is followed; a cycle ends there too.
 DEPTH = 5
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df through the shared checkpoint folder; without one (tests) through a temporary folder."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-graph-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = f"{folder}/tessera-graph-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tessera-graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -124,11 +119,53 @@ def window_around(rows: DataFrame, seeds: DataFrame, hops: int, group: str = "do
     return rows.join(around, [group, position], "left_semi").join(seeds.select(group, position), [group, position], "left_anti")
 
 
-def first_level(pairs: DataFrame, nodes: DataFrame, depth: int = 10) -> DataFrame:
-    """(node, level): referenced nodes before those that refer to them; 0 refers to nothing, self references don't count."""
-    up = closure(pairs.filter("child <> parent"), depth)
-    longest = up.groupBy(F.col("child").alias("node")).agg(F.countDistinct("ancestor").alias("n"))
-    return nodes.join(longest, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("level"))
+def first_level(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level): 0 refers to nothing, else one more than the highest level it refers to; null on or behind a cycle.
+
+    Self references don't count. A round settles a level, so there are as many rounds as levels.
+    """
+    left = _kept(pairs.filter("child <> parent").select("child", "parent").distinct())
+    done = _kept(nodes.select("node").distinct().join(left.select(F.col("child").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    level = 0
+    while not left.isEmpty():
+        level += 1
+        settled = done.filter(F.col("level") == level - 1).select(F.col("node").alias("parent"))
+        rest = _kept(left.join(settled, "parent", "left_anti"))
+        free = left.select(F.col("child").alias("node")).distinct().join(rest.select(F.col("child").alias("node")), "node", "left_anti")
+        free = _kept(free.withColumn("level", F.lit(level)))
+        if free.isEmpty():
+            break
+        done, left = done.unionByName(free), rest
+    return nodes.select("node").distinct().join(done, "node", "left")
+
+
+def reachable(pairs: DataFrame) -> DataFrame:
+    """(child, ancestor) of any distance, by squaring: as many rounds as the logarithm of the longest path."""
+    all_ = _kept(pairs.select("child", F.col("parent").alias("ancestor")).distinct())
+    n = all_.count()
+    while True:
+        on = all_.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_far"))
+        all_ = _kept(all_.unionByName(all_.join(on, "ancestor").select("child", F.col("_far").alias("ancestor"))).distinct())
+        if (more := all_.count()) == n:
+            return all_
+        n = more
+
+
+def cyclic(pairs: DataFrame) -> DataFrame:
+    """(node) of the nodes that are their own ancestor.
+
+    What refers to nothing or is referred to by nothing is on no cycle and is taken away first, again and again; only
+    what is left is closed.
+    """
+    left = _kept(pairs.select("child", "parent").distinct())
+    n = left.count()
+    while n:
+        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        left = _kept(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
+        if (fewer := left.count()) == n:
+            break
+        n = fewer
+    return reachable(left).filter("child = ancestor").select(F.col("child").alias("node"))
 
 
 def keep_best(rows: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:

@@ -66,14 +66,17 @@ def run_metric(engine: Engine, template: str, dimensions=None, allowed=(), max_r
 def match_metrics(questions: DataFrame, metrics: DataFrame, namespace: str = "") -> DataFrame:
     """Exact matches of metric names and synonyms in questions, `_` read as space, at word boundaries.
 
-    questions(qid, question), metrics(metric, namespace, label, is_name); labels are few and are broadcast. An empty
-    namespace sees all metrics, a metric without one is seen by all. One row per question and metric: name hits before
+    questions(qid, question), metrics(metric, namespace, label, is_name) meet by the label's first word and are then
+    compared whole. An empty namespace sees all metrics, a metric without one is seen by all. One row per question and metric: name hits before
     synonym hits, and the number of hits.
     """
     seen = F.lit(namespace == "") | (F.lower("namespace") == namespace.lower()) | (F.col("namespace") == "")
     pattern = F.concat(F.lit(r"(^|\W)"), F.regexp_replace(F.regexp_replace(F.lower("label"), r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\$1"), "[_ ]", "[_ ]"), F.lit(r"(\W|$)"))
-    m = F.broadcast(metrics.filter(seen).withColumn("pattern", pattern))
-    hit = questions.join(m, F.rlike(F.lower("question"), F.col("pattern")), "inner")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    first = F.coalesce(F.get(words("label"), F.lit(0)), F.lit(""))  # a label without such a word is looked for in all
+    m = metrics.filter(seen).withColumn("pattern", pattern).withColumn("_w", first)
+    asked = questions.withColumn("_w", F.explode(F.array_append(F.array_distinct(words("question")), F.lit(""))))
+    hit = asked.join(m, "_w").filter(F.rlike(F.lower("question"), F.col("pattern")))
     return hit.groupBy("qid", "metric").agg(F.max(F.col("is_name").cast("int")).alias("by_name"), F.count("*").alias("hits"))
 
 

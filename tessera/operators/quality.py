@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graphs import closure
+from tessera.operators.graphs import cyclic
 
 
 def profile(df: DataFrame, required=(), positive=(), patterns: dict[str, str] | None = None, castable: dict[str, str] | None = None) -> DataFrame:
@@ -49,6 +49,6 @@ def type_conflicts(filters: DataFrame, columns: DataFrame) -> DataFrame:
     return f.filter(order | like).select("column_name", "operator")
 
 
-def cycles(pairs: DataFrame, depth: int = 10) -> DataFrame:
-    """Nodes that are their own ancestor within `depth` levels."""
-    return closure(pairs, depth).filter("child = ancestor").select(F.col("child").alias("node"))
+def cycles(pairs: DataFrame) -> DataFrame:
+    """(node) of pairs(child, parent): the nodes that are their own ancestor, at any distance."""
+    return cyclic(pairs)

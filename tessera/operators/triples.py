@@ -78,7 +78,7 @@ def triples(spark: SparkSession, text: str, graph: str) -> DataFrame:
 def ontology(columns: DataFrame, keys: DataFrame, graph: str = "default") -> DataFrame:
     """A class for each table; an object property for each reference, a datatype property for any other column."""
     fk = keys.filter("kind = 'FOREIGN KEY'").select("table_name", "column_name", "ref_table")
-    c = columns.join(F.broadcast(fk), ["table_name", "column_name"], "left").select(pascal_case(F.col("table_name")).alias("class"), camel_case(F.col("column_name")).alias("prop"), F.col("column_name").alias("label"), "data_type", F.when(F.col("ref_table").isNotNull(), pascal_case(F.col("ref_table"))).alias("ref"))
+    c = columns.join(fk, ["table_name", "column_name"], "left").select(pascal_case(F.col("table_name")).alias("class"), camel_case(F.col("column_name")).alias("prop"), F.col("column_name").alias("label"), "data_type", F.when(F.col("ref_table").isNotNull(), pascal_case(F.col("ref_table"))).alias("ref"))
     row = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("kind"))
     name = F.concat_ws(".", "class", "prop")
     is_ref = F.col("ref").isNotNull()
@@ -126,3 +126,28 @@ def edges(df: DataFrame) -> DataFrame:
     prop = df.filter((F.col("p") == RDF_TYPE) & (F.col("o") == "owl:ObjectProperty")).select("s")
     pick = lambda p, name: df.filter(F.col("p") == p).select("s", F.col("o").alias(name))
     return prop.join(pick("rdfs:label", "label"), "s").join(pick("rdfs:domain", "source"), "s").join(pick("rdfs:range", "target"), "s").select("source", "label", "target").distinct().orderBy("source", "label", "target")
+
+
+def individuals(entities: DataFrame) -> DataFrame:
+    """(s, p, o) of entities(iri, class, label, scheme): each is typed, labelled and put into its scheme if it has one."""
+    rows = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(p).alias("p"), F.col(c).alias("o"))) for p, c in ((RDF_TYPE, "class"), ("rdfs:label", "label"), ("skos:inScheme", "scheme"))])
+    return entities.select(F.col("iri").alias("s"), F.explode(F.array_compact(rows)).alias("x")).select("s", "x.p", "x.o").distinct()
+
+
+def context(hits: DataFrame, properties: DataFrame, budget: int, class_cost: int = 20, property_cost: int = 30) -> DataFrame:
+    """(class, properties) of hits(class, place), best first, as long as the tokens they take stay within the budget.
+
+    properties(class, property). Hits are the few classes near a question; their running sum is one small window.
+    """
+    from pyspark.sql import Window
+
+    c = hits.join(properties, "class", "left").groupBy("class", "place").agg(F.count("property").alias("n"), F.array_join(F.array_sort(F.collect_set("property")), ",").alias("properties"))
+    used = F.sum(class_cost + property_cost * F.col("n")).over(Window.orderBy("place", "class").rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("used", used).filter(F.col("used") <= budget).select("class", "properties")
+
+
+def ingest(stored: DataFrame, new: DataFrame, append: bool = False) -> DataFrame:
+    """stored with a graph's new triples: appended to it, or in its place; a triple is there once."""
+    graphs = new.select("g").distinct()
+    kept = stored if append else stored.join(graphs, "g", "left_anti")
+    return kept.unionByName(new).distinct()

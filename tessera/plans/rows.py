@@ -106,7 +106,7 @@ def weighted_fusion(spark, sf_dir):
 @query("ground_exact", "SELECT p.p_partkey, CASE WHEN n.n_name IS NOT NULL THEN 1.0 ELSE 0.5 END AS confidence FROM part p LEFT JOIN nation n ON lower(n.n_name) = lower(split_part(p.p_name, ' ', 1))")
 def ground_exact(spark, sf_dir):
     """An exact name, ignoring case, short-circuits the score."""
-    n = F.broadcast(read(spark, sf_dir, "nation").select(F.lower("n_name").alias("k"), F.lit(1.0).alias("hit")))
+    n = read(spark, sf_dir, "nation").select(F.lower("n_name").alias("k"), F.lit(1.0).alias("hit"))
     p = read(spark, sf_dir, "part").withColumn("k", F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))
     return p.join(n, "k", "left").select("p_partkey", F.coalesce("hit", F.lit(0.5)).alias("confidence"))
 
@@ -516,7 +516,7 @@ def grant_merge(spark, sf_dir):
 def dataset_resolve(spark, sf_dir):
     v = spark.createDataFrame([(0,), (3,), (99,)], "name int")
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("name"), "n_name")
-    return v.join(F.broadcast(n), "name", "left").select("name", F.when(F.col("n_name").isNull(), "unresolved").otherwise("ok").alias("status"))
+    return v.join(n, "name", "left").select("name", F.when(F.col("n_name").isNull(), "unresolved").otherwise("ok").alias("status"))
 
 
 @query("reconcile", "SELECT * FROM (VALUES (1, 'new', 'a,b'), (2, 'kept', 'c,d')) t(id, description, synonyms)")

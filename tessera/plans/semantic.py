@@ -91,31 +91,39 @@ def edge_typed(spark, sf_dir):
     return graphs.typed_edges(_edges(spark, sf_dir), said, ["in_nation"]).withColumn("texts", F.array_join("texts", ","))
 
 
-@query("fk_adjacency", "SELECT node, string_agg(DISTINCT near, ',' ORDER BY near) AS near FROM (SELECT * FROM (VALUES ('nation', 'region'), ('customer', 'nation'), ('supplier', 'nation'), ('orders', 'customer'), ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier')) a(node, near) UNION ALL SELECT near, node FROM (VALUES ('nation', 'region'), ('customer', 'nation'), ('supplier', 'nation'), ('orders', 'customer'), ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier')) b(node, near)) t GROUP BY node")
-def fk_adjacency(spark, sf_dir):
-    return graphs.adjacency(_references(spark)).withColumn("near", F.array_join("near", ","))
+_COLUMNS = "(SELECT * FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem'))"
+# references as the column names tell them
+_FK = f"""(WITH k AS (SELECT table_name, ordinal_position AS p, column_name, regexp_extract(column_name, '^[^_]*_(.+key)$', 1) AS suffix FROM {_COLUMNS} c),
+    f AS (SELECT suffix, arg_min(table_name, length(table_name) * 1000 + ascii(table_name)) AS dst FROM k WHERE p = 1 AND suffix <> '' GROUP BY 1)
+    SELECT table_name AS src, column_name AS rel, dst FROM k JOIN f USING (suffix) WHERE table_name <> dst)"""
 
 
-def _references(spark):
+def _references(spark, sf_dir):
     from tessera.sources import catalog
 
-    return catalog.constraints(spark).filter("kind = 'FOREIGN KEY'").select(F.col("table_name").alias("src"), F.col("column_name").alias("rel"), F.col("ref_table").alias("dst"))
+    return catalog.inferred_references(catalog.discover_columns(spark, sf_dir, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")))
+
+
+@query("fk_adjacency", f"SELECT node, string_agg(DISTINCT near, ',' ORDER BY near) AS near FROM (SELECT src AS node, dst AS near FROM {_FK} a UNION ALL SELECT dst, src FROM {_FK} b) t GROUP BY node")
+def fk_adjacency(spark, sf_dir):
+    return graphs.adjacency(_references(spark, sf_dir)).withColumn("near", F.array_join("near", ","))
 
 
-@query("fk_expand", "SELECT * FROM (VALUES ('customer', 0), ('nation', 1), ('orders', 1)) t(table_name, hop)")
+@query("fk_expand", f"SELECT table_name, min(hop) AS hop FROM (SELECT 'customer' AS table_name, 0 AS hop UNION ALL SELECT dst, 1 FROM {_FK} a WHERE src = 'customer' UNION ALL SELECT src, 1 FROM {_FK} b WHERE dst = 'customer') t GROUP BY 1 ORDER BY 2, 1 LIMIT 10")
 def fk_expand(spark, sf_dir):
     """Tables found and their neighbours, at most ten."""
-    near = graphs.neighbours(_references(spark), _seeds(spark, "customer")).select(F.col("dst").alias("table_name"), F.lit(1).alias("hop"))
+    near = graphs.neighbours(_references(spark, sf_dir), _seeds(spark, "customer")).select(F.col("dst").alias("table_name"), F.lit(1).alias("hop"))
     own = spark.createDataFrame([("customer", 0)], "table_name string, hop int")
     return own.unionByName(near).groupBy("table_name").agg(F.min("hop").alias("hop")).orderBy("hop", "table_name").limit(10)
 
 
-@query("fk_topo", "SELECT * FROM (VALUES ('region', 0), ('part', 0), ('nation', 1), ('customer', 2), ('supplier', 2), ('orders', 3), ('lineitem', 6)) t(node, level)")
+@query("fk_topo", f"""WITH RECURSIVE f AS (SELECT DISTINCT src, dst FROM {_FK} x), w(node, level) AS (SELECT DISTINCT dst, 0 FROM f WHERE dst NOT IN (SELECT src FROM f) UNION SELECT f.src, w.level + 1 FROM w JOIN f ON f.dst = w.node)
+    SELECT node, max(level) AS level FROM w GROUP BY 1""")
 def fk_topo(spark, sf_dir):
-    """Number of tables that must come before each; referenced tables have smaller numbers."""
-    pairs = _references(spark).select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    """Levels such that every table comes after all that it refers to."""
+    pairs = _references(spark, sf_dir).select(F.col("src").alias("child"), F.col("dst").alias("parent"))
     nodes = pairs.select(F.col("child").alias("node")).union(pairs.select("parent")).distinct()
-    return graphs.first_level(pairs, nodes).withColumn("level", F.col("level").cast("int"))
+    return graphs.first_level(pairs, nodes)
 
 
 @query("subtype_chain", """WITH RECURSIVE p(child, parent) AS (SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_custkey > 1),
@@ -156,11 +164,20 @@ def beam_search(spark, sf_dir):
     return graphs.beam(e, seeds, width=100, depth=4, top=50).select("node", F.round("score", 9).alias("score"))
 
 
-@query("cycle_check", "SELECT * FROM (VALUES (1), (2), (3)) t(node)")
+@query("cycle_check", "SELECT c_custkey AS node FROM customer WHERE c_custkey // 25 % 3 = 0 AND c_custkey // 25 * 25 + 24 <= (SELECT max(c_custkey) FROM customer)")
 def cycle_check(spark, sf_dir):
+    """Customers in rings of 25 and in chains of 25, every ring with a tail; the rings are cycles, the rest isn't."""
     from tessera.operators.quality import cycles
 
-    return cycles(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 4)], "child int, parent int"))
+    k = F.col("c_custkey")
+    ring = F.expr("c_custkey div 25 % 3 = 0")
+    c = Engine(spark, sf_dir, ("customer",)).table("customer")
+    most = c.agg(F.max("c_custkey").alias("most"))
+    whole = c.crossJoin(F.broadcast(most)).filter(F.expr("c_custkey div 25 * 25 + 24") <= F.col("most"))  # one row
+    nxt = F.when(k % 25 == 24, F.when(ring, k - 24)).otherwise(k + 1)
+    pairs = whole.select(k.alias("child"), nxt.alias("parent")).filter("parent is not null")
+    tails = whole.filter(ring & (k % 25 == 7)).select((-k).alias("child"), k.alias("parent"))
+    return cycles(pairs.unionByName(tails))
 
 
 @query("unpivot_triples", "SELECT 'nation/' || n_nationkey AS s, p, o FROM (SELECT n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation) UNPIVOT (o FOR p IN (n_name, n_regionkey))")

@@ -52,6 +52,13 @@ def discover_columns(spark: SparkSession, sf_dir: str, names=tables.TABLES) -> D
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string, nullable boolean")
 
 
+def scan(spark: SparkSession, names=None) -> DataFrame:
+    """(table_name, kind, position, column_name, data_type, is_partition) of the session's catalog, or of the tables named."""
+    tables_ = [t for t in spark.catalog.listTables() if names is None or t.name in names]
+    rows = [(t.name, t.tableType.lower(), i, c.name, c.dataType, c.isPartition) for t in tables_ for i, c in enumerate(spark.catalog.listColumns(t.name), 1)]
+    return spark.createDataFrame(rows, "table_name string, kind string, position int, column_name string, data_type string, is_partition boolean")
+
+
 def constraints(spark: SparkSession) -> DataFrame:
     """(table_name, kind, position, column_name, ref_table, ref_column): keys and references, column by column."""
     rows = [(t, "PRIMARY KEY", i, c, None, None) for t, cs in tables.PRIMARY_KEYS.items() for i, c in enumerate(cs, 1)]
@@ -59,6 +66,15 @@ def constraints(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, kind string, position int, column_name string, ref_table string, ref_column string")
 
 
+def inferred_references(columns: DataFrame) -> DataFrame:
+    """(src, rel, dst): columns named like another table's first column, but for the prefix before the first _."""
+    suffix = F.regexp_extract("column_name", "^[^_]*_(.+key)$", 1)
+    named = columns.select("table_name", "position", "column_name", suffix.alias("suffix")).filter("suffix <> ''")
+    first = named.filter("position = 1").groupBy("suffix").agg(F.min_by("table_name", F.struct(F.length("table_name"), "table_name")).alias("dst"))
+    # two tables may begin with the same key: the one that is named like it, or else the shorter name, owns it
+    return named.join(first, "suffix").filter("table_name <> dst").select(F.col("table_name").alias("src"), F.col("column_name").alias("rel"), "dst")
+
+
 def enum_profile(df: DataFrame, columns: list[str], max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """(column_name, total, distinct_values, is_enum, looks_categorical) of text columns, in one pass over all of them.
 
@@ -76,7 +92,7 @@ def enum_values(df: DataFrame, columns: list[str], max_distinct: int = MAX_DISTI
     """(column_name, value) of the columns that enum_profile calls enums."""
     enums = enum_profile(df, columns, max_distinct).filter("is_enum").select("column_name")
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
-    return rows.filter("value is not null and value <> ''").distinct().join(F.broadcast(enums), "column_name", "left_semi")
+    return rows.filter("value is not null and value <> ''").distinct().join(enums, "column_name", "left_semi")
 
 
 def fingerprints(columns: DataFrame) -> DataFrame:
@@ -105,7 +121,7 @@ def mapping_rows(columns: DataFrame, keys: DataFrame) -> DataFrame:
     from tessera.functions.names import camel_case, pascal_case
 
     fk = keys.filter("kind = 'FOREIGN KEY'").select("table_name", "column_name", "ref_table")
-    c = columns.join(F.broadcast(fk), ["table_name", "column_name"], "left")
+    c = columns.join(fk, ["table_name", "column_name"], "left")
     return c.select("table_name", pascal_case(F.col("table_name")).alias("class_name"), "column_name", camel_case(F.col("column_name")).alias("property"), F.when(F.col("ref_table").isNotNull(), "object").otherwise("datatype").alias("kind"), F.coalesce("ref_table", F.lit("")).alias("ref_table"))
 
 

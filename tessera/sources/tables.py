@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of the sample schema, their keys and references; Parquet itself carries none.
@@ -36,3 +40,17 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temporary views for the tables named."""
     for name in names:
         read(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a temporary one will do on a single machine; on a cluster
+    executors wouldn't see each other's files there, so that is an error."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import read
+from tessera.sources.tables import read, shared_folder
 
 
 def _folder(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-stream-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return f"{found}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, files_at_once: int = 50) -> DataFrame:
