@@ -61,9 +61,9 @@ def _role_out(c: Column) -> Column:
 
 
 def _role_in(c: Column) -> Column:
-    # a line end is a backslash and an n that no backslash escapes: hide the doubled backslashes first
-    held = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    return unescaped(F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\")))
+    # a doubled backslash is one, and between two of these a backslash and an n are a line end
+    parts = F.transform(F.split(c, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return unescaped(F.array_join(parts, "\\"))
 
 
 def _next(template: Template, state: Column, role: Column) -> Column:

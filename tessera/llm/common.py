@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.tables import shared_folder
+
 #: The white space of the text contracts: space and 0x09 to 0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only while its measured size is within this many bytes.
@@ -29,22 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-        sc.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -133,4 +123,4 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "shared_dir", "table", "table_bytes", "tenant", "within", "without", "written"]
+__all__ = ["BATCH_ROWS", "BROADCAST_BYTES", "WHITE", "crc_of_id", "ready", "row_keys", "table", "table_bytes", "tenant", "within", "without", "written"]
