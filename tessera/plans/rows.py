@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import names
 from tessera.operators import graphs, induce, metrics, quality, vectors
+from tessera.plans.semantic import _FK
 from tessera.registry import query
 from tessera.sources import catalog, documents
 from tessera.sources.tables import TABLES, read
@@ -323,34 +324,52 @@ def upsert_merge(spark, sf_dir):
     return catalog.upsert(c.filter("c_custkey % 2 <> 0 OR c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("old").alias("origin")), c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit("new").alias("origin")), "k")
 
 
-@query("r2rml_rows", "SELECT 'Nation' AS class_name, * FROM (VALUES ('n_nationkey', 'nNationkey', 'datatype', ''), ('n_name', 'nName', 'datatype', ''), ('n_regionkey', 'nRegionkey', 'object', 'region')) t(column_name, property, kind, ref_table)")
+_SEVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_SEVEN_SQL = "(SELECT * FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in _SEVEN) + "))"
+
+
+def _references(spark, sf_dir):
+    """References as the column names tell them, as catalog rows."""
+    r = catalog.inferred_references(catalog.discover_columns(spark, sf_dir, _SEVEN))
+    return r.select(F.col("src").alias("table_name"), F.lit("FOREIGN KEY").alias("kind"), F.col("rel").alias("column_name"), F.col("dst").alias("ref_table"))
+
+
+@query("r2rml_rows", f"SELECT upper(table_name[1]) || table_name[2:] AS class_name, column_name, column_name[1] || upper(column_name[3]) || column_name[4:] AS property, CASE WHEN dst IS NULL THEN 'datatype' ELSE 'object' END AS kind, coalesce(dst, '') AS ref_table FROM {_SEVEN_SQL} c LEFT JOIN {_FK} f ON f.src = c.table_name AND f.rel = c.column_name")
 def r2rml_rows(spark, sf_dir):
-    return catalog.mapping_rows(catalog.discover_columns(spark, sf_dir, ("nation",)), catalog.constraints(spark)).drop("table_name")
+    return catalog.mapping_rows(catalog.discover_columns(spark, sf_dir, _SEVEN), _references(spark, sf_dir)).drop("table_name")
 
 
-@query("subtypes", "SELECT * FROM (VALUES ('loss', 'payment', 'confirmed'), ('expense', 'payment', 'confirmed'), ('premium', 'amount', 'suggested')) t(child, parent, status)")
+@query("subtypes", "WITH p AS (SELECT p_brand AS child, min(p_type) AS parent FROM part GROUP BY 1) SELECT child, parent, CASE WHEN count(*) OVER (PARTITION BY parent) >= 2 THEN 'confirmed' ELSE 'suggested' END AS status FROM p WHERE child <> 'Brand#3'")
 def subtypes(spark, sf_dir):
-    keys = [(t, "PRIMARY KEY", 1, "id", None, None) for t in ("loss", "expense", "payment", "premium", "amount", "claim")]
-    keys += [(c, "FOREIGN KEY", 1, "id", p, "id") for c, p in (("loss", "payment"), ("expense", "payment"), ("premium", "amount"), ("claim", "claim"))]
-    return catalog.subtypes(spark.createDataFrame(keys, "table_name string, kind string, position int, column_name string, ref_table string, ref_column string"))
+    """Brands as tables whose only key refers to the only key of their first type's table; one brand's key has two columns."""
+    pairs = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("child")).agg(F.min("p_type").alias("parent"))
+    row = lambda table, kind, column, ref: F.struct(table.alias("table_name"), F.lit(kind).alias("kind"), F.lit(1).alias("position"), F.lit(column).alias("column_name"), ref.alias("ref_table"), F.when(ref.isNotNull(), "id").alias("ref_column"))
+    none = F.lit(None).cast("string")
+    two = F.when(F.col("child") == "Brand#3", row(F.col("child"), "PRIMARY KEY", "id2", none))
+    keys = pairs.select(F.explode(F.array_compact(F.array(row(F.col("child"), "PRIMARY KEY", "id", none), row(F.col("child"), "FOREIGN KEY", "id", F.col("parent")), row(F.col("parent"), "PRIMARY KEY", "id", none), two))).alias("k")).select("k.*").distinct()
+    return catalog.subtypes(keys)
 
 
-@query("unknown_tables", "SELECT 'ghost' AS table_name")
+@query("unknown_tables", f"SELECT DISTINCT event_type AS table_name FROM events WHERE event_type NOT IN (SELECT table_name FROM {_SEVEN_SQL} c)")
 def unknown_tables(spark, sf_dir):
-    known = catalog.discover_columns(spark, sf_dir, ("region", "nation")).select("table_name")
-    return quality.unknown(spark.createDataFrame([("Region",), ("ghost",), ("NATION",)], "table_name string"), known, ["table_name"])
+    """Names that are asked for and no table, ignoring case: event types and all tables in capitals."""
+    known = catalog.discover_columns(spark, sf_dir).select("table_name")
+    asked = read(spark, sf_dir, "events").select(F.col("event_type").alias("table_name")).union(known.select(F.upper("table_name")))
+    return quality.unknown(asked, known, ["table_name"])
 
 
-@query("unknown_columns", "SELECT 'region' AS table_name, 'r_code' AS column_name")
+@query("unknown_columns", f"SELECT table_name, column_name || '_code' AS column_name FROM {_SEVEN_SQL} c WHERE ordinal_position % 2 = 0")
 def unknown_columns(spark, sf_dir):
-    known = catalog.discover_columns(spark, sf_dir, ("region", "nation")).select("table_name", "column_name")
-    return quality.unknown(spark.createDataFrame([("Region", "R_NAME"), ("region", "r_code")], "table_name string, column_name string"), known, ["table_name", "column_name"])
+    known = catalog.discover_columns(spark, sf_dir, _SEVEN)
+    asked = known.select(F.upper("table_name").alias("table_name"), F.upper(F.when(F.col("position") % 2 == 0, F.concat("column_name", F.lit("_code"))).otherwise(F.col("column_name"))).alias("column_name"))
+    return quality.unknown(asked, known, ["table_name", "column_name"])
 
 
-@query("type_compat", "SELECT * FROM (VALUES ('p_name', '>'), ('p_size', 'LIKE')) t(column_name, operator)")
+@query("type_compat", f"SELECT column_name, op AS operator FROM {_SEVEN_SQL} c, (VALUES ('>'), ('LIKE'), ('='), ('BETWEEN')) v(op) WHERE op IN ('>', 'BETWEEN') AND data_type = 'VARCHAR' OR op = 'LIKE' AND data_type IN ('BIGINT', 'INTEGER', 'DOUBLE')")
 def type_compat(spark, sf_dir):
-    f = spark.createDataFrame([("p_name", ">"), ("p_size", "LIKE"), ("p_size", "<"), ("p_name", "LIKE")], "column_name string, operator string")
-    return quality.type_conflicts(f, catalog.discover_columns(spark, sf_dir, ("part",)))
+    """Filters that don't go with a column's type, of every operator on every column."""
+    c = catalog.discover_columns(spark, sf_dir, _SEVEN)
+    return quality.type_conflicts(c.select("column_name", F.explode(F.array(*map(F.lit, (">", "LIKE", "=", "BETWEEN")))).alias("operator")), c)
 
 
 # --- documents -------------------------------------------------------------
@@ -460,11 +479,14 @@ def best_of(spark, sf_dir):
     return graphs.keep_best(rows, ["l_partkey"], "l_quantity", "o").select("l_partkey", "l_orderkey", "l_quantity")
 
 
-@query("protected_upsert", "SELECT * FROM (VALUES ('a', 'x', 'p', 'id', true), ('a', 'y', 'q', 'id', false), ('b', 'z', 'q', 'id', false)) t(table_name, column_name, ref_table, ref_column, protected)")
+@query("protected_upsert", """SELECT 't' || s_nationkey AS table_name, s_name AS column_name, 'p' AS ref_table, 'id' AS ref_column, s_suppkey % 2 = 0 AS protected FROM supplier WHERE s_suppkey % 3 <> 0
+    UNION ALL SELECT 't' || s_nationkey, s_name, CASE s_suppkey % 5 WHEN 0 THEN 'p' ELSE 'r' END, 'id', false FROM supplier WHERE NOT (s_suppkey % 3 <> 0 AND (s_suppkey % 2 = 0 OR s_suppkey % 5 = 0))""")
 def protected_upsert(spark, sf_dir):
-    kind = "table_name string, column_name string, ref_table string, ref_column string, protected boolean"
-    stored = spark.createDataFrame([("a", "x", "p", "id", True), ("a", "y", "q", "id", False)], kind)
-    return induce.protected_upsert(stored, spark.createDataFrame([("a", "x", "r", "id", False), ("a", "y", "q", "id", False), ("b", "z", "q", "id", False)], kind))
+    """References stored and found anew: a protected one keeps its column, an equal one isn't stored twice."""
+    k = F.col("s_suppkey")
+    row = lambda ref, protected: [F.concat(F.lit("t"), "s_nationkey").alias("table_name"), F.col("s_name").alias("column_name"), ref.alias("ref_table"), F.lit("id").alias("ref_column"), protected.alias("protected")]
+    s = read(spark, sf_dir, "supplier")
+    return induce.protected_upsert(s.filter(k % 3 != 0).select(*row(F.lit("p"), k % 2 == 0)), s.select(*row(F.when(k % 5 == 0, "p").otherwise("r"), F.lit(False))))
 
 
 @query("budget_trim", "SELECT kind, item FROM (SELECT p_brand AS kind, p_partkey AS item, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, count(*) OVER () * 20 AS total FROM part) t WHERE r <= floor(n * least(1.0, 8000.0 / total))")
@@ -519,13 +541,13 @@ def dataset_resolve(spark, sf_dir):
     return v.join(n, "name", "left").select("name", F.when(F.col("n_name").isNull(), "unresolved").otherwise("ok").alias("status"))
 
 
-@query("reconcile", "SELECT * FROM (VALUES (1, 'new', 'a,b'), (2, 'kept', 'c,d')) t(id, description, synonyms)")
+@query("reconcile", "SELECT p_partkey AS id, CASE WHEN p_size % 4 < 2 THEN p_type ELSE p_name END AS description, p_brand || CASE WHEN p_size % 3 = 0 THEN '' ELSE ',' || p_type END AS synonyms FROM part")
 def reconcile(spark, sf_dir):
     """A description gives way only to a source of higher standing; synonyms add up, ignoring case."""
-    stored = spark.createDataFrame([(1, "old", 1, ["a"]), (2, "kept", 3, ["c"])], "id int, old string, standing int, have array<string>")
-    got = spark.createDataFrame([(1, "new", ["A", "b"]), (2, "new", ["d"])], "id int, new string, more array<string>")
-    low = F.transform("have", lambda x: F.lower(x))
-    j = stored.join(got, "id").withColumn("low", low)
+    p = read(spark, sf_dir, "part")
+    stored = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("old"), (F.col("p_size") % 4).alias("standing"), F.array("p_brand").alias("have"))
+    got = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("new"), F.when(F.col("p_size") % 3 == 0, F.array(F.upper("p_brand"))).otherwise(F.array(F.upper("p_brand"), "p_type")).alias("more"))
+    j = stored.join(got, "id").withColumn("low", F.transform("have", lambda x: F.lower(x)))
     add = F.filter("more", lambda x: ~F.array_contains(F.col("low"), F.lower(x)))
     return j.select("id", F.when(F.col("standing") < 2, F.col("new")).otherwise(F.col("old")).alias("description"), F.array_join(F.concat("have", add), ",").alias("synonyms"))
 
@@ -539,10 +561,10 @@ def golden_exact(spark, sf_dir):
     return s.select("exact", "missing", "novel", F.round(F.col("exact") / F.nullif("na", F.lit(0)), 3).alias("precision_"), F.round(F.col("exact") / F.nullif("nb", F.lit(0)), 3).alias("recall"))
 
 
-@query("richness", "SELECT round(count(*) FILTER (ref <> '') * 1.0 / count(*), 3) AS relationship, round(count(*) FILTER (ref = '') * 1.0 / 7, 3) AS attribute FROM (SELECT CASE WHEN column_name IN ('n_regionkey', 'c_nationkey', 's_nationkey', 'o_custkey', 'l_orderkey', 'l_partkey', 'l_suppkey') THEN 'x' ELSE '' END AS ref FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem')) t")
+@query("richness", f"SELECT round(count(dst) * 1.0 / count(*), 3) AS relationship, round((count(*) - count(dst)) * 1.0 / 7, 3) AS attribute FROM {_SEVEN_SQL} c LEFT JOIN {_FK} f ON f.src = c.table_name AND f.rel = c.column_name")
 def richness(spark, sf_dir):
     """Share of relations among properties, and attributes per class."""
-    m = catalog.mapping_rows(catalog.discover_columns(spark, sf_dir, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")), catalog.constraints(spark))
+    m = catalog.mapping_rows(catalog.discover_columns(spark, sf_dir, _SEVEN), _references(spark, sf_dir))
     s = m.agg(F.sum((F.col("kind") == "object").cast("long")).alias("o"), F.sum((F.col("kind") == "datatype").cast("long")).alias("d"), F.count_distinct("class_name").alias("c"))
     return s.select(F.round(F.col("o") / (F.col("o") + F.col("d")), 3).alias("relationship"), F.round(F.col("d") / F.col("c"), 3).alias("attribute"))
 
