@@ -181,8 +181,8 @@ def test_packing_words():
     r = random.Random(2)
     alphabet = "aAeE\u00c9\u0130\u03a3\u6f22 .,'!s12\n\t\x0b\x85\u0301"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(120))) for _ in range(500)] + ["It's DON'T. a., b,. c.\nd", "x<|endoftext|>y"]
-    for text, ids in zip(texts, w.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        assert np.frombuffer(w.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_topk_search(spark):
