@@ -72,7 +72,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_lang: int = SAMPLE_LANG) -> Model:
-    """Learns from at most sample_rows rows (about sample_lang a language), chosen by a hash of their text."""
+    """Learns from about sample_rows different texts (twice as many at the most, about sample_lang a language), chosen by a
+    hash of the text."""
     common.ready(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text is not null and lang is not null")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -81,7 +82,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows
     quota = max(1, min(sample_lang, sample_rows // len(per)))
     share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, quota / n)))])
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_000)) / 1_000_000.0
-    got = rows.filter(draw < share[F.col("lang")]).limit(2 * sample_rows).mapInArrow(_count_rows, "lang string, grams binary").collect()
+    # copies count once, so that one text with very many can't fill the sample
+    drawn = rows.filter(draw < share[F.col("lang")]).distinct().orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(2 * sample_rows)
+    got = drawn.mapInArrow(_count_rows, "lang string, grams binary").collect()
     got = sorted((r["lang"], r["grams"]) for r in got)
     names = np.array([a for a, _ in got])
     grams = np.stack([np.frombuffer(g, np.float32) for _, g in got]) if got else np.zeros((0, DIMS), np.float32)

@@ -6,7 +6,8 @@ with numpy on the non-negative risk: prior * R+(positive) + max(0, R-(unlabelled
 logistic loss, Adam.
 
 Null and empty texts have no word and score by the bias alone. Repeated rows are scored alike. Rows whose
-label or id is null are not learned from as positives. With no confirmed toxic text every score is 0. An
+label or id is null are not learned from as positives. With no confirmed toxic text every score is that of a
+bias of -20, 2e-9, and nothing is predicted. An
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -70,6 +71,23 @@ def _sparse(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.n
     return row[known], at[known]
 
 
+def risk_gradient(w: np.ndarray, b: float, p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, prior: float) -> tuple[np.ndarray, float]:
+    """Gradient of the non-negative risk (weights, then bias), and the corrected risk of the negatives.
+
+    p, u: (row, place) of the words of the positive and the unlabelled texts. Where the negatives' risk is below zero,
+    the gradient is that of stepping back up.
+    """
+    z_p, z_u = (np.bincount(row, w[at], n) + b for (row, at), n in ((p, n_p), (u, n_u)))
+    s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
+    # logistic loss: l(+) = log(1 + exp(-z)), l(-) = log(1 + exp(z)), so l(+) - l(-) = -z
+    negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    if negative >= 0:
+        g_p, g_u = np.full(n_p, -prior / n_p), s_u / n_u
+    else:
+        g_p, g_u = prior * s_p / n_p, -s_u / n_u
+    return np.r_[np.bincount(p[1], g_p[p[0]], len(w)) + np.bincount(u[1], g_u[u[0]], len(w)), g_p.sum() + g_u.sum()], float(negative)
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps_: int = STEPS) -> Model:
     """Minimises the non-negative risk; full-batch, so the result depends on the rows alone."""
     weights = np.zeros(1 << BITS, np.float32)
@@ -78,22 +96,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     in_p, in_u = (np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS) for x in (positive, unlabelled))
     expected = len(positive) * (in_u + 1) / (len(unlabelled) + 2)
     names = np.flatnonzero((in_p >= LEAST_TEXTS) & (in_p - expected >= LEAST_SIGMA * np.sqrt(expected)))
-    p_row, p_at = _sparse(positive, names)
-    u_row, u_at = _sparse(unlabelled, names)
+    p, u = _sparse(positive, names), _sparse(unlabelled, names)
     w, b = np.zeros(len(names)), -1.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     n_p, n_u = len(positive), len(unlabelled)
     for t in range(1, steps_ + 1):
-        z_p = np.bincount(p_row, w[p_at], n_p) + b
-        z_u = np.bincount(u_row, w[u_at], n_u) + b
-        s_p, s_u = _sigmoid(z_p), _sigmoid(z_u)
-        # logistic loss: l(+) = log(1 + exp(-z)), l(-) = log(1 + exp(z)), so l(+) - l(-) = -z
-        negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        if negative >= 0:
-            g_p, g_u = np.full(n_p, -prior / n_p), s_u / n_u
-        else:  # the corrected risk of the negatives has gone below zero: step back up
-            g_p, g_u = prior * s_p / n_p, -s_u / n_u
-        g = np.r_[np.bincount(p_at, g_p[p_row], len(names)) + np.bincount(u_at, g_u[u_row], len(names)) + DECAY * w, g_p.sum() + g_u.sum()]
+        g, _ = risk_gradient(w, b, p, u, n_p, n_u, prior)
+        g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
