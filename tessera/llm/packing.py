@@ -43,6 +43,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in plain else next(rest)) for b in range(256)}
 
 
+class _Ids(dict):
+    """Ids of words; a new word's come from an older generation or are learned."""
+
+    def __init__(self, learn, older: dict[bytes, bytes]):
+        super().__init__()
+        self.learn, self.older = learn, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+
 class Words:
     """Ids of texts by a tokenizer that composes (NFC), makes letters small, drops white space and never looks across it.
 
@@ -60,65 +75,40 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = regex.compile(self.PARTS)
         self.letters = _byte_letters()
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.kept = _Ids(self._learn, {})
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Keeps the ids of words that are small and composed already; those of the older generation move on."""
-        for w in words:
-            if w in self.older:
-                self.kept[w] = self.older[w]
-                continue
-            text = w.decode()
-            if text.isalpha():
-                self.kept[w] = self._part(text)
-            elif text[-1] in ".," and text[:-1].isalpha():  # a word before a comma or full stop
-                base = w[:-1]
-                if base not in self.kept:
-                    self.kept[base] = self._part(text[:-1])
-                self.kept[w] = self.kept[base] + self._part(text[-1])
-            elif _ODD.search(text):
-                self.kept[w] = self._whole([text])
-            else:
-                self.kept[w] = b"".join(map(self._part, self.parts.findall(text)))
+        return array("I", [t.id for t in self.tokenize(part)]).tobytes()
+
+    def _learn(self, word: bytes) -> bytes:
+        """The ids of a word that is small and composed already."""
+        text = word.decode()
+        if text.isalpha():
+            return self._part(text)
+        if text[-1] in ".," and text[:-1].isalpha():  # a word before a comma or full stop
+            return self.kept[word[:-1]] + self.kept[word[-1:]]
+        if _ODD.search(text):
+            return self._whole([text])
+        return b"".join(map(self._part, self.parts.findall(text)))
 
     def _whole(self, words: list[str]) -> bytes:
         return b"".join(array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
-    def _settled(self, text: str) -> bool:
-        return text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, little-endian unsigned 32-bit."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, little-endian unsigned 32-bit."""
         if len(self.kept) > KEPT:
-            self.kept, self.older = {}, self.kept
-        out: list[bytes] = []
-        split: list[bytes] = []
-        edges = [0]
-        for text in texts:
-            small = text.lower() if self._settled(text) else None
-            if small is None or ("<|" in small and any(s in small for s in self.special)):
-                out.append(self._whole(text.split()))
-            else:
-                out.append(b"")
-                split += small.encode().split()
-            edges.append(len(split))
-        got = list(map(self.kept.get, split))
-        missing = [i for i, g in enumerate(got) if g is None]
-        if missing:
-            self._learn({split[i] for i in missing})
-            for i in missing:
-                got[i] = self.kept[split[i]]
-        return [o or b"".join(got[a:b]) for o, a, b in zip(out, edges[:-1], edges[1:], strict=True)]
+            self.kept = _Ids(self._learn, dict(self.kept))
+        if text.isascii() or ("\u03a3" not in text and is_normalized("NFC", text)):
+            small = text.lower()
+            if "<|" not in small or not any(s in small for s in self.special):
+                return b"".join(map(self.kept.__getitem__, small.encode().split()))
+        return self._whole(text.split())
 
 
 @lru_cache(maxsize=2)
@@ -225,9 +215,8 @@ def _pack(path: str, size: int, end: int):
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), w.encode(texts), strict=True):
-                    out += packer.add(doc, ids + tail)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    out += packer.add(doc, w.encode(text or "") + tail)
                 if out:
                     yield batch()
         out += packer.drain()
