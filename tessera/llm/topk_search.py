@@ -268,6 +268,7 @@ def _shards(batches: Iterator[pa.RecordBatch], mean: float, names: list[bytes])
             shard = Shard(row, mean)
             if shard.place_of:
                 yield row["shard"], shard, np.array([shard.place_of.get(w, -1) for w in names], np.int64)
+            del row, shard  # before the next one is read
 
 
 def _frequencies(sent):
@@ -297,6 +298,7 @@ def _first_scores(sent, mean: float, k: int, shards: int):
             for i, query, base in _many(shard, names_at, [(i, *queries[i]) for i in chosen.tolist()]):
                 score.append(shard.glance(query, base, k))
                 q.append(np.full(len(score[-1]), i, np.int32))
+            del shard
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(score))], ["q", "score"])
 
     return run
@@ -311,6 +313,7 @@ def _search(sent, mean: float, k: int):
         for _, shard, names_at in _shards(batches, mean, names):
             for q, query, base in _many(shard, names_at, numbered):
                 best[q] = shard.search(query, base, k, least[q], best[q])
+            del shard
         if queries:
             q = np.repeat(np.arange(len(queries), dtype=np.int32), [len(s) for s, _ in best])
             found = np.concatenate([d for _, d in best])
