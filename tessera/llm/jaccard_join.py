@@ -8,8 +8,9 @@ is still large at the last level is compared block by block. Runs are repeated u
 is met with the target probability.
 
 Buckets give spanning edges, not pairs, between sets whose signatures may reach the threshold. In each
-component of these edges the true shingle sets are then compared, block by block, and give every set's exact
-number of links and the links' components; a pair is never a row.
+component of these edges the true shingle sets are then compared where their sizes allow a link, block by
+block, and give every set's exact number of links and the links' components; a pair is never a row. Shingles
+are compared by 64-bit hashes that mix every byte of their words.
 
 A text with one to four words has one shingle, all its words. Null and wordless texts have no shingle and no
 link, also not with each other. Copies (equal sets, repeated rows) link to each other and to all that links
@@ -87,6 +88,7 @@ def _sign(width: int):
                 n = np.diff(edge).astype(np.int64)
                 sums = np.zeros((2, j - i), np.uint64)
                 sig: list[bytes | None] = [None] * (j - i)
+                low8: list[bytes | None] = [None] * (j - i)
                 if len(has):
                     starts = edge[has]
                     sums[0, has] = np.add.reduceat(mix(s + np.uint64(0x51ED270B)), starts)
@@ -99,8 +101,9 @@ def _sign(width: int):
                         least[:, t] = np.minimum.reduceat(v * np.uint32(0x2C1B3C6D), starts)
                     for r, x in zip(has, least, strict=True):
                         sig[r] = x.tobytes()
+                        low8[r] = (x * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()  # the least values' own high bits are zero
                 cols = [b.column(c).slice(i, j - i) for c in ("k1", "k2", "id")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n), pa.array(sig, pa.binary())], ["k1", "k2", "id", "s1", "s2", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(n), pa.array(sig, pa.binary()), pa.array(low8, pa.binary())], ["k1", "k2", "id", "s1", "s2", "n", "sig", "short"])
 
     return run
 
@@ -173,7 +176,10 @@ def _edges_out(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _brute(least: float):
-    """Spanning edges between sets of a bucket (and of its two blocks) whose signatures agree enough."""
+    """Spanning edges between sets of a bucket (and of its two blocks) whose signatures agree enough.
+
+    A byte of each token is compared; that two tokens agree by chance in it only adds candidates.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.tenant("jaccard_join")
@@ -182,7 +188,7 @@ def _brute(least: float):
             if g.num_rows < 2:
                 continue
             sid = g.column("sid").to_numpy()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(-1, TOKENS)
+            sig = np.frombuffer(b"".join(g.column("short").to_pylist()), np.uint8).reshape(-1, TOKENS)
             # ordered by set: buckets of one group then agree on roots, and their edges fall together
             order = np.argsort(sid)
             sid, sig = sid[order], sig[order]
@@ -209,18 +215,21 @@ def _brute(least: float):
     return run
 
 
+_GROUP = ["comp", "lo", "across", "i", "j"]
+
+
 def _exact(threshold: float, width: int):
     """True links inside a block or between two: for each set its links (copies counted) and its root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.tenant("jaccard_join")
-        for g in _groups(batches, ["comp", "i", "j"]):
+        for g in _groups(batches, _GROUP):
             sid = g.column("sid").to_numpy()
             sid, first = np.unique(sid, return_index=True)
             if len(sid) < 2:
                 continue
             g = g.take(pa.array(first))
-            copies, blk = g.column("copies").to_numpy(), g.column("blk").to_numpy()
+            copies, part_of = g.column("copies").to_numpy(), g.column("part").to_numpy()
             sets: list[np.ndarray] = []
             for i, j, s, edge in shingles(g.column("text").combine_chunks(), width):
                 sets += [s[edge[r] : edge[r + 1]] for r in range(j - i)]
@@ -244,8 +253,8 @@ def _exact(threshold: float, width: int):
             inter = both.astype(np.float64)
             near = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
             np.fill_diagonal(near, False)
-            if g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                near &= blk[:, None] != blk[None, :]
+            if g.column("across")[0].as_py() or g.column("i")[0].as_py() != g.column("j")[0].as_py():
+                near &= part_of[:, None] != part_of[None, :]
             links = near @ copies.astype(np.int64)
             some = links > 0
             if some.any():
@@ -255,15 +264,50 @@ def _exact(threshold: float, width: int):
     return run
 
 
-def _blocks(rows: DataFrame, key: str, n: str) -> DataFrame:
-    """Deals each key's rows into n blocks by their hash, and each pair of blocks into one group (key, i, j)."""
-    blk = F.pmod(F.xxhash64("sid", F.lit(11)), F.col(n)).cast("int")
-    rows = rows.withColumn("blk", blk).withColumn("o", F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))))
-    return rows.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", n)
+def _block(n: str):
+    """The block, of as many as column n says, that a set is in."""
+    return F.pmod(F.xxhash64("sid", F.lit(11)), F.col(n)).cast("int")
+
+
+def _places(n: str):
+    return F.when(F.col(n) > 0, F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Deals each bucket's rows into nb blocks by their hash, and each pair of blocks into one group (path, i, j)."""
+    rows = rows.withColumn("blk", _block("nb")).withColumn("o", F.explode(_places("nb")))
+    return rows.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "nb")
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    return rows.repartition(F.col(key), F.col("i"), F.col("j")).sortWithinPartitions(key, "i", "j")
+def _bands(member: DataFrame, threshold: float, broadcast_bytes: int) -> DataFrame:
+    """member with its size band, and the blocks of that band, of the next and of the one below in its component.
+
+    Sets as similar as the threshold differ in size by a factor of at most 1 / threshold, a little less than a band is
+    wide: they are in one band or in two that follow each other.
+    """
+    member = member.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.04 / threshold)).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    total = common.written(member.groupBy("comp", "band").agg(blocks.alias("nb")), "bands")
+    near = [total.select("comp", (F.col("band") + d).alias("band"), F.col("nb").alias(c)) for d, c in ((-1, "up"), (1, "down"))]
+    total = total.join(near[0], ["comp", "band"], "left").join(near[1], ["comp", "band"], "left").fillna(0, ["up", "down"])
+    total = common.written(total, "total")
+    return member.join(common.within(total, 48, broadcast_bytes), ["comp", "band"])
+
+
+def _band_blocks(rows: DataFrame) -> DataFrame:
+    """Deals rows into groups (comp, lo, across, i, j): pairs of blocks of a band, and of a band and the next; `part` tells the two apart."""
+    blk = F.col("blk")
+    group = lambda lo, across, i, j, part: F.struct(lo.alias("lo"), F.lit(across).alias("across"), i.alias("i"), j.alias("j"), part.alias("part"))
+    groups = F.concat(
+        F.transform(_places("nb"), lambda o: group(F.col("band"), 0, F.least(blk, o), F.greatest(blk, o), blk)),
+        F.transform(_places("up"), lambda o: group(F.col("band"), 1, blk, o, F.lit(0))),
+        F.transform(_places("down"), lambda o: group(F.col("band") - 1, 1, o, blk, F.lit(1))),
+    )
+    return rows.withColumn("blk", _block("nb")).withColumn("g", F.explode(groups)).select("comp", "g.*", "sid", "copies", "text")
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
 
 def candidate_edges(sets: DataFrame, threshold: float, broadcast_bytes: int) -> DataFrame:
@@ -277,9 +321,9 @@ def candidate_edges(sets: DataFrame, threshold: float, broadcast_bytes: int) ->
         met = common.written(rows.join(common.within(size, 24, broadcast_bytes), "path"), "met")
         final = met if level == LEVELS else met.filter(F.col("size") <= SMALL)
         big = met.filter(F.col("size") > SMALL)
-        with_sig = final.join(sets.select("sid", "sig"), "sid").withColumn("nb", F.ceil(F.col("size") / BLOCK))
-        dealt = _dealt(_blocks(with_sig.select("path", "sid", "sig", "nb"), "path", "nb"), "path")
-        found.append(common.written(dealt.select("path", "i", "j", "sid", "sig").mapInArrow(_brute(least), "a long, b long").distinct(), "found"))
+        with_sig = final.join(sets.select("sid", "short"), "sid").withColumn("nb", F.ceil(F.col("size") / BLOCK))
+        dealt = _dealt(_blocks(with_sig.select("path", "sid", "short", "nb")), ["path", "i", "j"])
+        found.append(common.written(dealt.select("path", "i", "j", "sid", "short").mapInArrow(_brute(least), "a long, b long").distinct(), "found"))
         if level == LEVELS or big.isEmpty():
             break
         rows = common.written(big.select("path", "sid").join(sets.select("sid", "sig"), "sid").select("path", "sid", "sig").mapInArrow(_paths(threshold), "path long, sid long"), "paths")
@@ -293,19 +337,17 @@ def _classes(docs: DataFrame, key: str, text: str, threshold: float, width: int,
     common.ready(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(*[v.alias(k) for k, v in common.row_keys(key, text).items()], F.col(key).alias("id"), F.col(text).alias("text"))
-    signed = rows.mapInArrow(_sign(width), f"k1 long, k2 int, id {kind}, s1 long, s2 long, n long, sig binary")
+    signed = rows.mapInArrow(_sign(width), f"k1 long, k2 int, id {kind}, s1 long, s2 long, n long, sig binary, short binary")
     signed = common.written(signed.withColumn("sid", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n"))), "signed")
     one = F.min(F.struct("k1", "k2")).alias("one")
-    sets = signed.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), one)
+    sets = signed.filter("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"), one)
     sets = common.written(sets, "sets")
     maybe = components(candidate_edges(sets, threshold, broadcast_bytes), broadcast_bytes)
     member = sets.join(common.within(maybe.withColumnRenamed("node", "sid"), 32, broadcast_bytes), "sid").select("sid", "comp", "copies", "n", "one.k1", "one.k2")
     member = common.written(member, "member")
-    total = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
-    total = common.written(total, "total")
-    member = common.written(member.join(common.within(total, 24, broadcast_bytes), "comp"), "members")
-    texts = rows.select("k1", "k2", "text").join(common.within(member, 64, broadcast_bytes), ["k1", "k2"]).select("comp", "nb", "sid", "copies", "text")
-    dealt = _dealt(_blocks(texts, "comp", "nb"), "comp").select("comp", "i", "j", "blk", "sid", "copies", "text")
+    member = common.written(_bands(member, threshold, broadcast_bytes), "members")
+    texts = rows.select("k1", "k2", "text").join(common.within(member, 96, broadcast_bytes), ["k1", "k2"])
+    dealt = _dealt(_band_blocks(texts), _GROUP)
     linked = common.written(dealt.mapInArrow(_exact(threshold, width), "sid long, links long, root long"), "linked")
     comp = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")), broadcast_bytes)
     links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
