@@ -87,10 +87,10 @@ def residual_tokens(text: Column, stop_words) -> Column:
 
 
 def merge_spans(spans: DataFrame, key: str = "key") -> DataFrame:
-    """Overlapping or touching spans (start, end) of each key as one."""
+    """Overlapping or touching spans (start, end) of each key as one; a null start or end comes after all others."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy("start", "end")
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
     island = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -57,6 +57,16 @@ def test_merge_spans_of_every_key(spark, tmp_path):
     assert sorted(run(spark, tmp_path, "merge_spans", lineitem=rows)) == want
 
 
+def test_merge_spans_of_nulls_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    spans = [(1, 5, None), (1, 5, 2), (1, None, 3), (1, 30, 1), (2, 7, None), (2, 3, 5), (None, 4, 1), (None, 5, None), (3, -7, -2), (3, -7, -2), (4, 10, -5), (4, 8, 1)]
+    rows = pd.DataFrame(spans, columns=["l_suppkey", "l_partkey", "l_linenumber"]).astype("Int64")
+    got = run(spark, tmp_path, "merge_spans", lineitem=rows)
+    want = duckdb.sql(registry.oracle_sql()["merge_spans"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet'")).fetchall()
+    assert (1, 5, 7) in want and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_incremental_dedup_of_all_conversations(spark, tmp_path):
     rows = [{"conv_id": c, "turn": t} for c in (0, 1, 2, 59, 60, 61, 1000) for t in (1, 2, 2)]
     assert sorted(run(spark, tmp_path, "incremental_dedup", conversations=rows)) == sorted({(r["conv_id"], r["turn"]) for r in rows})
