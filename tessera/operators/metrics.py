@@ -12,6 +12,8 @@ from tessera.engine import Engine
 
 #: Longest dimension name and value.
 NAME_CHARS, VALUE_CHARS = 128, 4000
+#: Labels are broadcast while their measured size is within this many bytes.
+LABEL_BYTES = 32 << 20
 _PLACEHOLDER = re.compile(r"(?<!:):([A-Za-z_]\w*)|\{([A-Za-z_]\w*)\}")
 
 
@@ -63,12 +65,13 @@ def run_metric(engine: Engine, template: str, dimensions=None, allowed=(), max_r
     return engine.sql(sql, max_rows=max_rows, args=values)
 
 
-def match_metrics(questions: DataFrame, metrics: DataFrame, namespace: str = "") -> DataFrame:
+def match_metrics(questions: DataFrame, metrics: DataFrame, namespace: str = "", label_bytes: int = LABEL_BYTES) -> DataFrame:
     """Exact matches of metric names and synonyms in questions, `_` read as space, at word boundaries.
 
     questions(qid, question), metrics(metric, namespace, label, is_name) meet by the label's first word and are then
     compared whole. An empty namespace sees all metrics, a metric without one is seen by all. One row per question and metric: name hits before
-    synonym hits, and the number of hits.
+    synonym hits, and the number of hits. A question is repeated for each of its words, so its side is never broadcast: the
+    labels are, up to label_bytes, and more of them are joined by a shuffle.
     """
     seen = F.lit(namespace == "") | (F.lower("namespace") == namespace.lower()) | (F.col("namespace") == "")
     pattern = F.concat(F.lit(r"(^|\W)"), F.regexp_replace(F.regexp_replace(F.lower("label"), r"([.\\+*?\[^\]$(){}=!<>|:#-])", r"\\$1"), "[_ ]", "[_ ]"), F.lit(r"(\W|$)"))
@@ -76,7 +79,8 @@ def match_metrics(questions: DataFrame, metrics: DataFrame, namespace: str = "")
     first = F.coalesce(F.get(words("label"), F.lit(0)), F.lit(""))  # a label without such a word is looked for in all
     m = metrics.filter(seen).withColumn("pattern", pattern).withColumn("_w", first)
     asked = questions.withColumn("_w", F.explode(F.array_append(F.array_distinct(words("question")), F.lit(""))))
-    hit = asked.join(m, "_w").filter(F.rlike(F.lower("question"), F.col("pattern")))
+    size = m.agg(F.sum(128 + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("metric", "label", "pattern", "_w")))).first()[0] or 0
+    hit = asked.join(F.broadcast(m) if size <= label_bytes else m.hint("merge"), "_w").filter(F.rlike(F.lower("question"), F.col("pattern")))
     return hit.groupBy("qid", "metric").agg(F.max(F.col("is_name").cast("int")).alias("by_name"), F.count("*").alias("hits"))
 
 

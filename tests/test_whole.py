@@ -67,6 +67,24 @@ def test_merge_spans_of_nulls_equals_its_sql(spark, tmp_path):
     assert (1, 5, 7) in want and sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_metric_match_broadcasts_labels_only(spark, tmp_path):
+    from tessera.operators import metrics
+
+    rows = pd.DataFrame({"conv_id": range(6), "turn": 1, "text": ["The one and the other", "that the", None, "THAT_THE", "other", "x.the"]})
+    rows.to_parquet(f"{tmp_path}/conversations.parquet")
+    df = registry.queries()["metric_match"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    want = [(1, "greeting", 1, 2), (1001, "greeting", 1, 1), (1001, "two_words", 0, 1), (3001, "two_words", 0, 1), (5001, "greeting", 1, 1)]
+    assert sorted(tuple(r) for r in df.collect()) == want
+    q = spark.createDataFrame([(1, "the total_sales of the year"), (2, "???"), (3, None)], "qid long, question string")
+    m = spark.createDataFrame([("sales", "", "total sales", True), ("the", "", "the", False), ("odd", "", "???", True), ("none", "", None, True)], "metric string, namespace string, label string, is_name boolean")
+    both = [metrics.match_metrics(q, m, label_bytes=b) for b in (metrics.LABEL_BYTES, -1)]
+    assert "SortMergeJoin" in both[1]._jdf.queryExecution().executedPlan().toString()
+    found = [sorted(tuple(r) for r in b.collect()) for b in both]
+    assert found[0] == found[1] == [(1, "sales", 1, 1), (1, "the", 0, 1), (2, "odd", 1, 1)]
+
+
 def test_incremental_dedup_of_all_conversations(spark, tmp_path):
     rows = [{"conv_id": c, "turn": t} for c in (0, 1, 2, 59, 60, 61, 1000) for t in (1, 2, 2)]
     assert sorted(run(spark, tmp_path, "incremental_dedup", conversations=rows)) == sorted({(r["conv_id"], r["turn"]) for r in rows})
