@@ -19,15 +19,24 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _best_ratio(text: str, label: str) -> float:
+    """Runs whose upper bounds don't exceed the best ratio so far are passed over."""
+    words, n = text.lower().split(), len(label.split())
+    runs = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] + [" ".join(words)]
+    best, m = 0.0, difflib.SequenceMatcher(None, "", label.lower())
+    for r in dict.fromkeys(runs):
+        m.set_seq1(r)
+        if m.real_quick_ratio() > best and m.quick_ratio() > best:
+            best = max(best, m.ratio())
+    return best
+
+
 @pandas_udf(DoubleType())
 def best_window_ratio(text: pd.Series, label: pd.Series) -> pd.Series:
-    """Best similarity of a label with any run of as many words of the text, or with the whole text."""
-    out = []
-    for t, name in zip(text, label, strict=True):
-        words, n = (t or "").lower().split(), len((name or "").split())
-        runs = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] + [" ".join(words)]
-        out.append(max(difflib.SequenceMatcher(None, r, (name or "").lower()).ratio() for r in runs))
-    return pd.Series(out)
+    """Best similarity of a label with any run of as many words of the text, or with the whole text; equal pairs of a batch once."""
+    pairs = [(t or "", name or "") for t, name in zip(text, label, strict=True)]
+    score = {pair: _best_ratio(*pair) for pair in set(pairs)}
+    return pd.Series([score[pair] for pair in pairs], dtype=float)
 
 
 @pandas_udf(StringType())

@@ -85,6 +85,39 @@ def test_metric_match_broadcasts_labels_only(spark, tmp_path):
     assert found[0] == found[1] == [(1, "sales", 1, 1), (1, "the", 0, 1), (2, "odd", 1, 1)]
 
 
+def test_metric_cascade_of_many_customers(spark, tmp_path):
+    import duckdb
+
+    rows = [{"c_custkey": k, "c_mktsegment": ("BUILDING", "MACHINERY", "HOUSEHOLD")[k % 7 % 3]} for k in (*range(60), 10**9, 10**9 + 1, 10**9 + 2)]
+    pd.DataFrame(rows).to_parquet(f"{tmp_path}/customer.parquet")
+    df = registry.queries()["metric_cascade"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Inner, BuildRight, RLIKE" in plan and "Inner, BuildLeft" not in plan  # labels are sent, questions aren't
+    want = duckdb.sql(registry.oracle_sql()["metric_cascade"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted((q, m, h, float(f)) for q, m, h, f in want)
+
+
+def test_best_ratio_passes_over_no_better_run():
+    import difflib
+    import random
+
+    from tessera.functions import fuzzy
+
+    pick, asked = random.Random(5), []
+    for _ in range(300):
+        text, label = (" ".join("".join(pick.choice("abC_") for _ in range(pick.randrange(1, 6))) for _ in range(pick.randrange(n))) for n in (9, 4))
+        words, n = text.lower().split(), len(label.split())
+        runs = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] + [" ".join(words)]
+        assert fuzzy._best_ratio(text, label) == max(difflib.SequenceMatcher(None, r, label.lower()).ratio() for r in runs)
+    whole = fuzzy.best_window_ratio.func
+    was, fuzzy._best_ratio = fuzzy._best_ratio, lambda t, name: asked.append((t, name)) or was(t, name)
+    try:
+        assert list(whole(pd.Series(["a b", None, "a b", "a b"]), pd.Series(["b", "b", "b", "c"]))) == [1.0, 0.0, 1.0, 0.0]
+    finally:
+        fuzzy._best_ratio = was
+    assert len(asked) == 3  # equal pairs once
+
+
 def test_incremental_dedup_of_all_conversations(spark, tmp_path):
     rows = [{"conv_id": c, "turn": t} for c in (0, 1, 2, 59, 60, 61, 1000) for t in (1, 2, 2)]
     assert sorted(run(spark, tmp_path, "incremental_dedup", conversations=rows)) == sorted({(r["conv_id"], r["turn"]) for r in rows})
