@@ -41,8 +41,10 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_BYTES, BLOCK_BITS, STRETCH = 4096, 16 << 20, 6, 64
 #: A word in one of so many documents of a shard, or more, is a row of its matrix; queries whose products are made at once.
 DENSE, AT_ONCE = 16, 64
+#: Where one in so many blocks of a stretch is to be scored, or more, its postings are read through.
+MANY = 8
 #: Queries, and bytes of their words, that are searched at once; shards and blocks that give the first threshold.
-QUERIES, QUERY_BYTES, TRIED_SHARDS, TRIED_BLOCKS = 4096, 32 << 20, 4, 8
+QUERIES, QUERY_BYTES, TRIED_SHARDS, TRIED_BLOCKS = 8192, 32 << 20, 4, 8
 _TABLE = letters_map().tobytes()
 _NULL = np.iinfo(np.int64).min
 _COLUMNS = ["docs", "lengths", "words", "starts", "posting_doc", "posting_tf"]
@@ -110,6 +112,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
     return common.written(out.withColumn("shard", F.monotonically_increasing_id()), "index")
 
 
+def _numbers(words: list[bytes], asked: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((asked.get(w, -1) for w in words), np.int64, len(words))
+
+
 class Shard:
     """A shard in memory: impacts of postings, and for each word the blocks it is in with their largest impact.
 
@@ -117,11 +123,20 @@ class Shard:
     are rows of a matrix, and the part of the scores that is theirs is a product with it, for many queries at once.
     """
 
-    def __init__(self, row: dict, mean: float):
+    def __init__(self, row: dict, mean: float, asked: dict[bytes, int] | None = None):
+        """asked: the words to be held, numbered; all if None."""
         read = lambda c, t: np.frombuffer(row[c], t)
-        self.place_of = {w: i for i, w in enumerate(row["words"].split(b" "))} if row["words"] else {}
+        words = row["words"].split(b" ") if row["words"] else []
         self.docs, lengths = read("docs", np.int64), read("lengths", np.int32)
-        starts, self.doc, tf = read("starts", np.int32).astype(np.int64), read("posting_doc", np.uint16).astype(np.int64), read("posting_tf", np.uint32)
+        starts, self.doc, tf = read("starts", np.int32).astype(np.int64), read("posting_doc", np.uint16), read("posting_tf", np.uint32)
+        if asked is not None:
+            numbers = _numbers(words, asked)
+            held = np.flatnonzero(numbers >= 0)
+            self.numbers, words = numbers[held], [words[i] for i in held.tolist()]
+            p = ranges(starts[held], starts[held + 1])
+            starts, self.doc, tf = np.r_[0, np.cumsum(starts[held + 1] - starts[held])], self.doc[p], tf[p]
+        self.place_of = {w: i for i, w in enumerate(words)}
+        self.doc = self.doc.astype(np.int64)
         room = K1 * (1 - B + B * lengths / mean)
         self.impact = tf * (K1 + 1) / (tf + room[self.doc])
         n, docs = len(self.place_of), len(self.docs)
@@ -134,6 +149,11 @@ class Shard:
         self.entry_max = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.entry_post = np.r_[first, len(at)]  # the entry's first posting
         self.entry_of = np.searchsorted(self.entry, np.arange(n + 1) * self.blocks)  # the word's first entry
+        # the same as matrices, a line for each word: the blocks' largest impacts, and the entries (-1: none)
+        self.block_max = np.zeros((n, self.blocks))
+        self.block_max.ravel()[self.entry] = self.entry_max
+        self.entry_at = np.full((n, self.blocks), -1, np.int32)
+        self.entry_at.ravel()[self.entry] = np.arange(len(self.entry))
         self.list_max = np.maximum.reduceat(self.entry_max, self.entry_of[:-1]) if n else np.zeros(0)
         many = np.flatnonzero(np.diff(starts) * DENSE >= docs)
         self.row_of = np.full(n, -1)
@@ -154,51 +174,59 @@ class Shard:
         weights = np.zeros((len(queries), len(self.dense)))
         for line, q in zip(weights, queries, strict=True):
             line[q.rows] = q.weight[q.many]
-        return weights @ self.dense
-
-    def _score(self, q: Query, base: np.ndarray, entries: np.ndarray, word: np.ndarray, good: np.ndarray, offset: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best, and their equals, that reach `least` in the good blocks from document `offset` on.
-
-        entries: those of the words with cursors, word by word. Scores are added up word by word in the query's order, so
-        that equal documents have equal scores in all shards.
+        used = np.flatnonzero(weights.any(axis=0))
+        return weights[:, used] @ self.dense[used] if 2 * len(used) < len(self.dense) else weights @ self.dense
+
+    def _runs(self, q: Query, first: int, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings (from, to) of the words with cursors in the good blocks from block `first` on, word by word, and their words."""
+        e = self.entry_at[q.places, first : first + len(good)][:, good]
+        some = e >= 0
+        entries, word = e[some], np.repeat(q.few, some.sum(axis=1))
+        if not len(entries):
+            return entries, entries, word
+        # entries that follow each other are one run
+        last = np.flatnonzero((entries[1:] != entries[:-1] + 1) | (word[1:] != word[:-1]))
+        new, last = np.concatenate(([0], last + 1)), np.concatenate((last, [len(entries) - 1]))
+        return self.entry_post[entries[new]], self.entry_post[entries[last] + 1], word[new]
+
+    def _score(self, q: Query, score: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, first: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best, and their equals, that reach `least`, from document `first` on.
+
+        score: what the matrix gives; start, end, word: runs of postings of the words with cursors, word by word. Scores
+        are added up word by word in the query's order, so that equal documents have equal scores in all shards.
         """
-        first = offset
-        score = np.where(np.repeat(good, 1 << BLOCK_BITS), base[first : first + (len(good) << BLOCK_BITS)], 0.0)
-        doc, of, impact = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if len(entries):
-            # entries that follow each other are one stretch of postings
-            new = np.flatnonzero(np.r_[True, (entries[1:] != entries[:-1] + 1) | (word[1:] != word[:-1])])
-            start, end = self.entry_post[entries[new]], self.entry_post[entries[np.r_[new[1:], len(entries)] - 1] + 1]
-            p = ranges(start, end)
-            doc, of, impact = self.doc[p] - first, np.repeat(word[new], end - start), self.impact[p]
-            self.scored += len(p)
-            score += np.bincount(doc, q.weight[of] * impact, len(score))
+        p, size = ranges(start, end), end - start
+        doc, impact = self.doc[p], self.impact[p]
+        if first:
+            doc = doc - first
+        self.scored += len(p)
+        if len(p):
+            score = score + np.bincount(doc, np.repeat(q.weight[word], size) * impact, len(score))
+        most = score.max()
+        if most <= 0 or most * _SLACK < least:
+            return np.zeros(0, np.int64), np.zeros(0)
         hit = np.flatnonzero((score * _SLACK >= least) & (score > 0))
         if len(hit) > k:
             own = score[hit]
             hit = hit[own * _SLACK >= np.partition(own, len(own) - k)[len(own) - k]]
-        if not len(hit):
-            return hit, np.zeros(0)
         parts = np.zeros((len(q.weight), len(hit)))
         parts[q.many] = self.dense[np.ix_(q.rows, first + hit)]
         column = np.full(len(score), -1)
         column[hit] = np.arange(len(hit))
         at = column[doc]
-        some = at >= 0
-        parts[of[some], at[some]] = impact[some]
+        some = np.flatnonzero(at >= 0)
+        parts[np.repeat(word, size)[some], at[some]] = impact[some]
         exact = (parts * q.weight[:, None]).cumsum(axis=0)[-1]
         ok = (exact >= least) & (exact > 0)
         return first + hit[ok], exact[ok]
 
     def glance(self, q: Query, base: np.ndarray, k: int) -> np.ndarray:
         """The k best scores in the TRIED_BLOCKS blocks with the largest bounds."""
-        a, e = self.entry_of[q.places], self.entry_of[q.places + 1]
-        entries, word = ranges(a, e), np.repeat(q.few, e - a)
-        bound = base.reshape(self.blocks, -1).max(axis=1) + np.bincount(self.entry_block[entries], q.weight[word] * self.entry_max[entries], self.blocks)
+        bound = base.reshape(self.blocks, -1).max(axis=1) + q.weight[q.few] @ self.block_max.take(q.places, axis=0)
         tried = np.zeros(self.blocks, bool)
         tried[np.argsort(-bound)[:TRIED_BLOCKS]] = True
-        keep = tried[self.entry_block[entries]]
-        return np.sort(self._score(q, base, entries[keep], word[keep], tried, 0, k, 0.0)[1])[::-1][:k]
+        held = np.where(np.repeat(tried, 1 << BLOCK_BITS), base, 0.0)
+        return np.sort(self._score(q, held, *self._runs(q, 0, tried), 0, k, 0.0)[1])[::-1][:k]
 
     def search(self, q: Query, base: np.ndarray, k: int, least: float, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Merges this shard's documents with scores of `least` or more into best = (scores, ids)."""
@@ -225,17 +253,18 @@ class Shard:
             if pivot > done:
                 cursor = np.maximum(cursor, np.searchsorted(self.entry, first + pivot))
             after = np.searchsorted(self.entry, first + till) if till < self.blocks else end
-            entries, word = ranges(cursor, np.maximum(cursor, after)), np.repeat(q.few, np.maximum(0, after - cursor))
-            at = self.entry_block[entries] - pivot
-            good = room[pivot:till] + np.bincount(at, q.weight[word] * self.entry_max[entries], till - pivot) * _SLACK >= least
+            good = room[pivot:till] + (q.weight[q.few] @ self.block_max.take(q.places, axis=0)[:, pivot:till]) * _SLACK >= least
             if good.any():
-                keep = good[at]
-                found, score = self._score(q, base, entries[keep], word[keep], good, pivot << BLOCK_BITS, k, least)
-                scores, ids = np.r_[best[0], score], np.r_[best[1], self.docs[found]]
-                order = np.lexsort((ids, -scores))[:k]
-                best = scores[order], ids[order]
-                if len(order) == k:
-                    least = max(least, best[0][-1])
+                # many good blocks: runs through all of the stretch cost less than leaving out the other blocks' postings,
+                # whose documents can't reach the threshold in any case
+                runs = (self.entry_post[cursor], self.entry_post[np.maximum(cursor, after)], q.few) if np.count_nonzero(good) * MANY >= len(good) else self._runs(q, pivot, good)
+                found, score = self._score(q, base[pivot << BLOCK_BITS : till << BLOCK_BITS], *runs, pivot << BLOCK_BITS, k, least)
+                if len(found):
+                    scores, ids = np.concatenate((best[0], score)), np.concatenate((best[1], self.docs[found]))
+                    order = np.lexsort((ids, -scores))[:k]
+                    best = scores[order], ids[order]
+                    if len(order) == k:
+                        least = max(least, best[0][-1])
             cursor, done = after, till
             block = np.where(cursor < end, self.entry_block[cursor], self.blocks)
         return best
@@ -252,6 +281,19 @@ class Query:
     places: np.ndarray
 
 
+class Bounds:
+    """Queries' words and weights end to end, for the most that each query can score in a shard."""
+
+    def __init__(self, queries: list):
+        self.places = np.concatenate([p for p, _ in queries]).astype(np.int32) if queries else np.zeros(0, np.int32)
+        self.weights = np.concatenate([w for _, w in queries]) if queries else np.zeros(0)
+        self.starts = np.r_[0, np.cumsum([len(p) for p, _ in queries])][: len(queries)].astype(np.int64)
+
+    def most(self, shard: Shard, names_at: np.ndarray) -> np.ndarray:
+        top = np.where(names_at >= 0, shard.list_max[names_at], 0.0)
+        return np.add.reduceat(self.weights * top[self.places], self.starts) * _SLACK if len(self.starts) else np.zeros(0)
+
+
 def _many(shard: Shard, names_at: np.ndarray, queries: list) -> Iterator[tuple[int, Query, np.ndarray]]:
     """(number, query, product) of the numbered queries that have a word in the shard, AT_ONCE products at a time."""
     for first in range(0, len(queries), AT_ONCE):
@@ -261,24 +303,28 @@ def _many(shard: Shard, names_at: np.ndarray, queries: list) -> Iterator[tuple[i
 
 
 def _shards(batches: Iterator[pa.RecordBatch], mean: float, names: list[bytes]) -> Iterator[tuple[int, Shard, np.ndarray]]:
-    """Number, shard, and the place of each name in it (-1: none)."""
+    """Number, shard with the words that are named, and the place of each name in it (-1: none)."""
+    asked = {w: i for i, w in enumerate(names)}
     for b in batches:
         for i in range(b.num_rows):
             row = b.slice(i, 1).to_pylist()[0]
-            shard = Shard(row, mean)
+            shard = Shard(row, mean, asked)
             if shard.place_of:
-                yield row["shard"], shard, np.array([shard.place_of.get(w, -1) for w in names], np.int64)
+                names_at = np.full(len(names), -1)
+                names_at[shard.numbers] = np.arange(len(shard.numbers))
+                yield row["shard"], shard, names_at
             del row, shard  # before the next one is read
 
 
 def _frequencies(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value
-        total = np.zeros(len(names), np.int64)
+        total, asked = np.zeros(len(names), np.int64), {w: i for i, w in enumerate(names)}
         for b in batches:
             for row in b.to_pylist():
-                df = dict(zip(row["words"].split(b" "), np.diff(np.frombuffer(row["starts"], np.int32)).tolist(), strict=False))
-                total += np.fromiter((df.get(w, 0) for w in names), np.int64, len(names))
+                numbers = _numbers(row["words"].split(b" ") if row["words"] else [], asked)
+                held = np.flatnonzero(numbers >= 0)
+                total[numbers[held]] += np.diff(np.frombuffer(row["starts"], np.int32))[held]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["place", "df"])
 
@@ -292,11 +338,15 @@ def _first_scores(sent, mean: float, k: int, shards: int):
         common.tenant("topk_search")
         names, queries = sent.value
         share = np.uint64(min(1.0, TRIED_SHARDS / shards) * (2**64 - 2**12))
+        bounds, own = Bounds(queries), np.zeros(len(queries))  # own: the best k-th scores so far
         for number, shard, names_at in _shards(batches, mean, names):
             chosen = np.flatnonzero(mix(np.arange(len(queries), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(number)) <= share)
+            chosen = chosen[bounds.most(shard, names_at)[chosen] > own[chosen]] if len(chosen) else chosen
             q, score = [np.zeros(0, np.int32)], [np.zeros(0)]
             for i, query, base in _many(shard, names_at, [(i, *queries[i]) for i in chosen.tolist()]):
                 score.append(shard.glance(query, base, k))
+                if len(score[-1]) == k:
+                    own[i] = max(own[i], score[-1][-1])
                 q.append(np.full(len(score[-1]), i, np.int32))
             del shard
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(score))], ["q", "score"])
@@ -309,10 +359,13 @@ def _search(sent, mean: float, k: int):
         common.tenant("topk_search")
         names, queries, least = sent.value
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries)
-        numbered = [(q, *x) for q, x in enumerate(queries)]
+        bounds, need = Bounds(queries), least.copy()
         for _, shard, names_at in _shards(batches, mean, names):
-            for q, query, base in _many(shard, names_at, numbered):
-                best[q] = shard.search(query, base, k, least[q], best[q])
+            most = bounds.most(shard, names_at)
+            for q, query, base in _many(shard, names_at, [(q, *queries[q]) for q in np.flatnonzero((most >= need) & (most > 0)).tolist()]):
+                best[q] = shard.search(query, base, k, need[q], best[q])
+                if len(best[q][0]) == k:
+                    need[q] = max(need[q], best[q][0][-1])
             del shard
         if queries:
             q = np.repeat(np.arange(len(queries), dtype=np.int32), [len(s) for s, _ in best])
@@ -351,6 +404,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id
         if not got:
             continue
         bags = [bytes(r["words"]).split(b" ") for r in got]
+        # neighbours, whose products are made together, have the same most frequent word
+        kind = [bag[int(np.frombuffer(bytes(r["tf"]), np.uint32).argmax())] for r, bag in zip(got, bags, strict=True)]
+        order = sorted(range(len(got)), key=kind.__getitem__)
+        got, bags = [got[i] for i in order], [bags[i] for i in order]
         names = sorted(set().union(*bags))
         place = {w: i for i, w in enumerate(names)}
         df = np.zeros(len(names), np.int64)
@@ -359,7 +416,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id
         idf = np.log(1 + ((n or 0) - df + 0.5) / (df + 0.5))
         terms = []
         for r, bag in zip(got, bags, strict=True):
-            places = np.array([place[w] for w in bag])
+            places = np.array([place[w] for w in bag], np.int32)
             terms.append((places, np.frombuffer(bytes(r["tf"]), np.uint32) * idf[places]))
         first = index.mapInArrow(_first_scores(spark.sparkContext.broadcast((names, terms)), mean, k, shards), "q int, score double")
         least = np.zeros(len(terms))

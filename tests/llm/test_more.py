@@ -113,6 +113,32 @@ def test_search_skips():
     assert not len(shard.search(query, base, 8, 1e6, (np.zeros(0), np.zeros(0, np.int64)))[0]) and shard.scored == 0
 
 
+@pytest.mark.parametrize("many", [0, 8])
+def test_search_holds_asked_words_only(monkeypatch, many):
+    """Postings read block by block (0) or through a stretch (8) against all scores; bounds of all queries at once; words not asked for are left out."""
+    monkeypatch.setattr(topk_search, "MANY", many)
+    monkeypatch.setattr(topk_search, "STRETCH", 5)
+    r = random.Random(3)
+    pool = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, " ".join(r.choice(pool[:3] + pool[i % 5 * 20 :][:20]) for _ in range(r.randrange(1, 9)))) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["id", "text"])
+    asked = {w.encode(): i for i, w in enumerate(["nowhere", *pool[::2]])}
+    shard = topk_search.Shard(topk_search._shard([batch]).to_pylist()[0], 5.0, asked)
+    assert set(shard.place_of) == {w.encode() for w in pool[::2]} and len(shard.doc) == sum(len({w for w in t.split() if w.encode() in asked}) for _, t in rows)
+    names_at = np.full(len(asked), -1)
+    names_at[shard.numbers] = np.arange(len(shard.numbers))
+    queries = [(np.array(sorted(r.sample(range(len(asked)), n)), np.int32), np.array([r.random() for _ in range(n)])) for n in (1, 3, 9, 30, 51)]
+    most = topk_search.Bounds(queries).most(shard, names_at)
+    for i, query, base in topk_search._many(shard, names_at, [(i, *x) for i, x in enumerate(queries)]):
+        weight = {w: float(queries[i][1][list(queries[i][0]).index(n)]) for w, n in asked.items() if n in queries[i][0]}
+        score = {d: sum(weight[w] * m * 2.2 / (m + 1.2 * (0.25 + 0.75 * len(t.split()) / 5.0)) for w, m in Counter(t.encode().split()).items() if w in weight) for d, t in rows}
+        want = sorted((-round(x, 9), d) for d, x in score.items() if x > 0)[:7]
+        for least in (0.0, -want[-1][0] - 1e-6 if want else 0.0):
+            got = shard.search(query, base, 7, least, (np.zeros(0), np.zeros(0, np.int64)))
+            assert [(-round(x, 9), d) for x, d in zip(*got, strict=True)] == want
+        assert not want or most[i] >= -want[0][0]
+
+
 def test_common_words():
     a, b = pa.array([b"a b ", b"ab c ", b"", b"x y z ", b"x "]), pa.array([b"a b ", b"a b c ", b"q ", b"x y zz ", b"x y "])
     assert substring_dedup.common_words(a, b).tolist() == [2, 0, 0, 2, 1]
