@@ -139,6 +139,7 @@ def suspects(prints: DataFrame) -> DataFrame:
     owner_bits = max(0, math.ceil(math.log2(max(1, n / OWNER_ROWS)))) + 3
     sent = common.written(prints.select("src", "row_num", "h").mapInArrow(_send(bits, owner_bits), "sender long, owner int, codes binary, rows array<long>, at array<int>"), "sent")
     maps = sent.select("sender", "owner", "codes").groupBy("owner").applyInArrow(_answer, "sender long, owner int, bitmap binary")
+    maps = common.written(maps, "maps")  # if `sent` is broadcast, one task would hold a worker for this step and one for the next
     joined = sent.select("sender", "owner", "rows", "at").join(maps, ["sender", "owner"])
     return joined.select("rows", "at", "bitmap").mapInArrow(_suspects, "row_num long")
 

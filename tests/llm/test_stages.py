@@ -311,6 +311,31 @@ def test_pipeline(spark):
             assert {r["doc_id"] for r in docs.collect()} == {i for i, _ in rows}
 
 
+def test_one_worker_a_task(spark, odd, monkeypatch):
+    """No stage has two steps in Python one above the other, even where a join between them becomes a broadcast: each
+    task would hold two workers, which stay with the executor."""
+    import corpus_pipeline
+
+    seen, written = {}, common.written
+
+    def deepest(node):
+        below = node.children()
+        name = node.nodeName()
+        return ("Arrow" in name or "Python" in name) + max((deepest(below.apply(k)) for k in range(below.size())), default=0)
+
+    def noted(df, name):
+        seen[name] = max(seen.get(name, 0), deepest(df._jdf.queryExecution().optimizedPlan()))
+        return written(df, name)
+
+    monkeypatch.setattr(common, "written", noted)
+    docs = odd[1]
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":  # its rows come from a written table
+            break
+        docs = common.written(stage(spark, docs, SF), name)
+    assert max(seen.values()) == 1, seen
+
+
 def test_queries_are_whole():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
     assert zlib.crc32(b"0") == 4108050209
