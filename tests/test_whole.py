@@ -150,3 +150,39 @@ def test_hop_union_takes_every_arm(spark):
     assert {tuple(r)[:3] for r in graphs.expand(edges, seeds, hops=1).collect()} == one
     got = {tuple(r)[:3]: r["hop"] for r in graphs.expand(edges, seeds).collect()}
     assert got == {**dict.fromkeys(sibling | bridge | beyond, 2), **dict.fromkeys(one, 1)}
+
+
+def test_cluster_classes_in_chunks(spark):
+    """Groups of several chunks and of one, copies, near copies, ties, zero and missing vectors, a null group; against a plain fold."""
+    import numpy as np
+
+    from tessera.functions import fuzzy
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(30, 8))
+    rows = []
+    for i in range(900):
+        v = base[rng.integers(30)] * rng.uniform(0.5, 2) + rng.normal(size=8) * rng.choice([0, 0.05, 0.25, 0.6])
+        rows.append(((1 if i % 5 < 3 else None) if i % 7 else 2, i * 37 % 900, v.astype("float32").tolist()))
+    rows += [(1, 2000 + i, [float(j == i % 8) for j in range(8)]) for i in range(16)] + [(1, 2050, [0.0] * 8), (1, 2051, [0.0] * 8), (1, -5, None), (1, 2052, [float("nan")] * 8)]
+    rows += [(1, 2060, [1.0, 1.0] + [0.0] * 6)]
+    want = []
+    for g in {r[0] for r in rows}:
+        index = []
+        for _, o, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            if v is None or not np.isfinite(v).all():
+                want.append((g, o, o, "novel"))
+                continue
+            v = np.array(v)
+            v = v / (np.linalg.norm(v) or 1)
+            score, first = max(((round(float(w @ v), 12), -i) for i, (_, w) in enumerate(index)), default=(-1.0, 0))
+            if score >= 0.95:
+                want.append((g, o, index[-first][0], "exact"))
+            else:
+                want.append((g, o, o, "close_match" if score >= 0.8 else "novel"))
+                index.append((o, v))
+    assert {r[3] for r in want} == {"exact", "close_match", "novel"}
+    df = spark.createDataFrame(rows, "label int, vec_id long, embedding array<float>")
+    for chunk in (37, 300, 5000):
+        got = [tuple(r) for r in fuzzy.cluster_classes(df, "label", "vec_id", "vec_id", "embedding", chunk=chunk).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
