@@ -113,6 +113,48 @@ def test_search_skips():
     assert not len(shard.search(query, base, 8, 1e6, (np.zeros(0), np.zeros(0, np.int64)))[0]) and shard.scored == 0
 
 
+@pytest.mark.parametrize("postings", [1, 1 << 16])
+def test_search_by_regions(monkeypatch, postings):
+    """Two languages are regions; limits are the blocks' best scores, to rounding; queries stay out of the other language."""
+    monkeypatch.setattr(topk_search, "POSTINGS", postings)
+    monkeypatch.setattr(topk_search, "AT_ONCE", 3)
+    r = random.Random(4)
+    pool = {c: [f"{c}{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"] for c in "xy"}
+    rows = [(i, " ".join([c := "xy"[i * 7 % 3 % 2]] * 4 + [pool[c][min(99, int(r.expovariate(0.05)))] for _ in range(r.randrange(5, 40))])) for i in range(900)] + [(900, ""), (901, "alone")]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["id", "text"])
+    row = topk_search._shard([batch]).to_pylist()[0]
+    names = sorted({w for _, t in rows for w in topk_search.split(t)})
+    place, mean = {w: i for i, w in enumerate(names)}, row["total"] / row["n"]
+    queries = []
+    for _, t in rows[:40]:
+        bag = sorted(Counter(topk_search.split(t)).items())
+        queries.append((np.array([place[w] for w, _ in bag], np.int32), np.array([n * r.random() for _, n in bag])))
+    score = np.zeros((len(queries), len(rows)))
+    for d, t in rows:
+        own = topk_search.split(t)
+        impact = {place[w]: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, n in Counter(own).items()}
+        for q, (places, weight) in enumerate(queries):
+            score[q, d] = sum(x * impact.get(p, 0.0) for p, x in zip(places.tolist(), weight.tolist(), strict=True))
+    parts, seen = list(topk_search._split(row, place)), []
+    assert len(parts) == 3  # the texts without words of either language come first
+    for part in parts:
+        shard = topk_search.Shard(part, mean)
+        seen += shard.docs.tolist()
+        names_at = np.full(len(names), -1)
+        names_at[shard.numbers] = np.arange(len(shard.numbers))
+        need, met = np.full(len(queries), 1e-6), []
+        for numbers, *words in topk_search._reaching(shard, names_at, queries, np.arange(len(queries)), need):
+            met += numbers.tolist()
+            _, limits = shard.limits(*words)
+            for q, limit in zip(numbers, limits, strict=True):
+                padded = np.zeros(shard.blocks << topk_search.BLOCK_BITS)
+                padded[: len(shard.docs)] = score[q, shard.docs]
+                want = padded.reshape(shard.blocks, -1).max(axis=1)
+                assert (limit >= want).all() and (limit <= want * 1.0001 + 1e-9).all()
+        assert met == np.flatnonzero(score[:, shard.docs].max(axis=1) > 0).tolist()
+    assert sorted(seen) == list(range(len(rows)))
+
+
 @pytest.mark.parametrize("many", [0, 8])
 def test_search_holds_asked_words_only(monkeypatch, many):
     """Postings read block by block (0) or through a stretch (8) against all scores; bounds of all queries at once; words not asked for are left out."""
